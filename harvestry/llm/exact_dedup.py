@@ -55,6 +55,7 @@ def verified(docs: DataFrame, hits: DataFrame, id_col: str, text: Column) -> Dat
     rows = rows.withColumn("bits", F.element_at(bits, F.expr(f"cast({slot} / 64 as int) + 1"))).where(F.expr(f"shiftright(bits, {slot} % 64) & 1 = 1")).drop("bits")
     hit_rows = staged(rows.join(hits.select("digest", "keep_id"), "digest"), "lsm-hits")
     stays = hit_rows.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("kept_text"))
+    stays = staged(stays, "lsm-stays")
     return hit_rows.join(stays, "digest").where(F.col("text") != F.col("kept_text")).select("digest", "id", "text")
 
 
