@@ -10,11 +10,12 @@ from .suffix_dedup import op2_suffix_dedup
 from .minhash import op6_oph_near_dedup
 from .mixing import op4_pareto_mix
 from .packing import op7_best_fit_packing
+from .quality import op8_quality
 from .sharding import op10_tiered_shards
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_dedup, op3_language_bloom, op4_pareto_mix, op5_flac_media, op6_oph_near_dedup, op7_best_fit_packing, op9_exact_dedup, op10_tiered_shards)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op3_language_bloom, op4_pareto_mix, op5_flac_media, op6_oph_near_dedup, op7_best_fit_packing, op8_quality, op9_exact_dedup, op10_tiered_shards)}
 
 
 def oracle_sql() -> dict:
