@@ -33,7 +33,7 @@ def normalized(url: Column) -> Column:
 def normalized_sql(column: str) -> str:
     full = f"case when regexp_matches(trim({column}), '^(?i)https?://') then lower(regexp_extract(trim({column}), '^([A-Za-z]+)://', 1)) || regexp_extract(trim({column}), '^[A-Za-z]+(://.*)$', 1) when not regexp_matches(trim({column}), '^[A-Za-z][A-Za-z0-9+.-]*:') and trim({column}) <> '' then 'https://' || trim({column}) end"
     path = f"regexp_extract({full}, '{_PATH}', 1)"
-    pairs = f"list_sort(list_filter(string_split(regexp_extract({full}, '{_QUERY}', 1), '&'), x -> x <> '' and not regexp_matches(lower(split_part(x, '=', 1)), '{DROPPED}')))"
+    pairs = f"list_sort(list_filter(string_split(regexp_extract({full}, '{_QUERY}', 1), '&'), lambda x: x <> '' and not regexp_matches(lower(split_part(x, '=', 1)), '{DROPPED}')))"
     return f"""'https://' || nullif(regexp_replace(lower(regexp_extract({full}, '{_HOST}', 1)), '^www\\.', ''), '')
         || case when {path} = '' then '/' when length({path}) > 1 and {path} like '%/' then left({path}, length({path}) - 1) else {path} end
         || case when len({pairs}) > 0 then '?' || array_to_string({pairs}, '&') else '' end"""

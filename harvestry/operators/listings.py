@@ -194,7 +194,7 @@ def dd_norm_row(spark, d):
     return table(spark, d, "documents").select("doc_id", t.alias("t")).where("t <> ''").groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("t")
 
 
-@query("select page_id, list_sort(list_distinct(list_transform(string_split(title, ' '), x -> lower(x)))) as words from listings", "listings")
+@query("select page_id, list_sort(list_distinct(list_transform(string_split(title, ' '), lambda x: lower(x)))) as words from listings", "listings")
 def dd_ci_list(spark, d):
     return listings(spark, d).select("page_id", F.array_sort(F.array_distinct(F.transform(F.split("title", " "), F.lower))).alias("words"))
 
@@ -228,7 +228,7 @@ MONTHS = ("JA", "FE", "MR", "AP", "MY", "JN", "JL", "AU", "SE", "OC", "NO", "DE"
 _months = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
 JOBID_SQL = f"""base as (select page_id, case when len(w) >= 2 then upper(case when regexp_matches(w[1][1], '[a-zA-Z]') then w[1][1] else 'X' end || case when regexp_matches(w[2][1], '[a-zA-Z]') then w[2][1] else 'X' end)
     when len(w) = 1 and length(regexp_replace(w[1], '[^a-zA-Z0-9]', '', 'g')) >= 2 then upper(left(regexp_replace(w[1], '[^a-zA-Z0-9]', '', 'g'), 2)) when len(w) = 1 and length(regexp_replace(w[1], '[^a-zA-Z0-9]', '', 'g')) = 1 then upper(regexp_replace(w[1], '[^a-zA-Z0-9]', '', 'g') || 'X') else 'XX' end
-    || strftime(make_timestamp(created_ms * 1000), '%d') || {_months}[month(make_timestamp(created_ms * 1000))] as base from (select *, list_filter(string_split_regex(trim(title), '\\s+'), x -> x <> '') as w from listings))"""
+    || strftime(make_timestamp(created_ms * 1000), '%d') || {_months}[month(make_timestamp(created_ms * 1000))] as base from (select *, list_filter(string_split_regex(trim(title), '\\s+'), lambda x: x <> '') as w from listings))"""
 
 
 def base_key(title, day):
@@ -291,7 +291,7 @@ def fn_norm_description(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(h.rlike("<[a-z]"), strip_html(h)).otherwise(h).alias("text"))
 
 
-@query("select doc_id, len(w) as words, len(list_distinct(w)) as distinct_words, len(w) > 80 and len(list_distinct(w)) * 100 < 28 * len(w) as repetitive from (select doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), x -> x <> '') as w from documents)")
+@query("select doc_id, len(w) as words, len(list_distinct(w)) as distinct_words, len(w) > 80 and len(list_distinct(w)) * 100 < 28 * len(w) as repetitive from (select doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') as w from documents)")
 def fn_junk_description(spark, d):
     """The word-variety rule of junk descriptions."""
     w = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda x: x != "")
@@ -305,7 +305,7 @@ def fn_quality_score(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.least(F.length(t), F.lit(4000)) / 40.0 + F.when(t.contains("\n"), 10).otherwise(0) - F.when(F.length(t) > 8000, 20).otherwise(0)).alias("score"))
 
 
-@query("select page_id, array_to_string(list_transform(list_filter(string_split_regex(regexp_extract(url, '/([^/?#]+)(?:[?#].*)?$', 1), '[-_+ ]+'), w -> w <> ''), w -> case when length(w) <= 2 then upper(w) else upper(w[1]) || lower(substr(w, 2)) end), ' ') as title from listings", "listings")
+@query("select page_id, array_to_string(list_transform(list_filter(string_split_regex(regexp_extract(url, '/([^/?#]+)(?:[?#].*)?$', 1), '[-_+ ]+'), lambda w: w <> ''), lambda w: case when length(w) <= 2 then upper(w) else upper(w[1]) || lower(substr(w, 2)) end), ' ') as title from listings", "listings")
 def fn_title_from_url(spark, d):
     return listings(spark, d).select("page_id", title_case(F.regexp_extract("url", r"/([^/?#]+)(?:[?#].*)?$", 1)).alias("title"))
 
