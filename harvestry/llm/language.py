@@ -22,6 +22,8 @@ from .common import documents, staged
 SIZES = (3, 4)
 #: n-grams of a language kept at most.
 GRAMS = 12_000
+#: Bytes of text whose n-grams are held at once.
+PART = 1 << 20
 #: Slots of the bit-sliced table and hash functions.
 SLOTS, HASHES = 1 << 18, 3
 
@@ -75,7 +77,7 @@ def counted(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
             held.clear()
 
-        for rows, data, at in slices(batches, text_col):
+        for rows, data, at in slices(batches, text_col, PART):
             h, whose, _ = grams(data, at)
             langs = np.array(values(rows, lang_col).to_pylist(), object)
             for lang in set(langs.tolist()):
@@ -147,7 +149,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", carry: t
 
     def run(batches):
         model = held.value
-        for rows, data, at in slices(batches, text_col):
+        for rows, data, at in slices(batches, text_col, PART):
             gram, whose, letters = grams(data, at)
             n = rows.num_rows
             counts = model.counts(gram, whose, n) if model.langs else np.zeros((n, 1))
