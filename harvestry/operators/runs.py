@@ -15,7 +15,7 @@ SANE_MS = 48 * 3600 * 1000
 IST_MS = 19_800_000
 
 
-def latest():
+def newest_first():
     """Newest run first within a robot. A function: the entry module is also imported without a session."""
     return Window.partitionBy("robot_id").orderBy(F.desc("at_ms"), F.desc("run_id"))
 
@@ -61,7 +61,7 @@ def win_next_n_all(spark, d):
 
 def latest(log: DataFrame) -> DataFrame:
     """The last run of each robot."""
-    return log.withColumn("nth", F.row_number().over(latest())).where("nth = 1").drop("nth")
+    return log.withColumn("nth", F.row_number().over(newest_first())).where("nth = 1").drop("nth")
 
 
 LATEST_SQL = "latest as (select * from (select *, row_number() over (partition by robot_id order by at_ms desc, run_id desc) as nth from runs) where nth = 1)"
