@@ -19,6 +19,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: Rank cells of each of the two refinements.
 CELLS = 2048
+#: Changes that bring the words of a source closer to its target after the cut in rank order.
+CORRECTIONS = 4
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -56,12 +58,13 @@ def below(rows: DataFrame, cell: str, limits: DataFrame) -> DataFrame:
     return sums.groupBy("g").agg(passed.alias("x")).where("x is not null").select("g", F.col(f"x.{cell}").alias(f"at_{cell}"), F.col("x.rest").alias("want"))
 
 
-def pareto_sample(rows: DataFrame, top_up: int = 2) -> DataFrame:
-    """rows: g (source), id, size, p, u -> with boolean `taken`, each source's words close to sum(p * size).
+def pareto_sample(rows: DataFrame, corrections: int = CORRECTIONS) -> DataFrame:
+    """rows: g (source), row, id, size, p, u -> with boolean `taken`, each source's words close to sum(p * size).
 
-    Documents are taken in the order of q as long as the words fit. Then, `top_up` times, the largest
-    document still left that fits into what is missing follows, so that a source misses its words by
-    less than its smallest documents. Rows without words or with p = 0 are not taken.
+    Documents are taken in the order of q as long as the words fit. Then, `corrections` times, each
+    source makes the one change that leaves the least difference from the words asked for: one more
+    document, even if it goes beyond them, or one less. A change that would not lessen the difference
+    is not made. Rows without words or with p = 0 are not taken.
     """
     q = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
     rows = rows.withColumn("q", F.when(F.col("p") > 0, q))
@@ -75,13 +78,17 @@ def pareto_sample(rows: DataFrame, top_up: int = 2) -> DataFrame:
     run = Window.partitionBy("g").orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     over = edge.withColumn("over", F.sum("size").over(run) > F.col("want")).where("over").groupBy("g").agg(F.min(F.struct("q", "id", "size")).alias("stop"))
     cut = staged(over, "mix-cut")  # the first document of each source that no longer fits
-    chosen = join_small(rows, cut, "g", "left").withColumn("taken", F.col("q").isNotNull() & (F.col("size") > 0) & (F.col("stop").isNull() | (F.struct("q", "id", "size") < F.col("stop")))).drop("stop")
-    for _ in range(top_up):
-        gap = staged(chosen.where("q is not null").groupBy("g").agg((F.sum(F.col("p") * F.col("size")) - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap")), "mix-gap")
-        fits = join_small(chosen.where("q is not null and not taken and size > 0"), gap, "g").where("size <= gap")
-        extra = staged(fits.groupBy("g").agg(F.max(F.struct("size", (-F.col("q")).alias("nq"), "row")).alias("extra")).select("g", F.col("extra.row").alias("extra_row")), "mix-extra")
-        chosen = join_small(chosen, extra, "g", "left").withColumn("taken", F.col("taken") | F.coalesce(F.col("row") == F.col("extra_row"), F.lit(False))).drop("extra_row")
-    return chosen
+    before = lambda frame: join_small(frame, cut, "g", "left").withColumn("taken", F.col("q").isNotNull() & (F.col("size") > 0) & (F.col("stop").isNull() | (F.struct("q", "id", "size") < F.col("stop")))).drop("stop")
+    gap = F.sum(F.col("p") * F.col("size")) - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))
+    state = staged(before(live).groupBy("g").agg(gap.alias("gap")).withColumn("changed", F.array().cast("array<bigint>")), "mix-gap")  # one row for each source
+    for _ in range(corrections):
+        after = F.col("gap") + F.when(F.col("taken"), F.col("size")).otherwise(-F.col("size"))
+        open_rows = join_small(before(live), state, "g").where(~F.array_contains("changed", F.col("row"))).withColumn("after", after).where(F.abs("after") < F.abs("gap"))
+        best = open_rows.groupBy("g").agg(F.min(F.struct(F.abs("after").alias("miss"), "taken", "q", "id", "row", "after")).alias("best"))
+        better = F.col("best").isNotNull()
+        state = staged(state.join(best, "g", "left").select("g", F.when(better, F.col("best.after")).otherwise(F.col("gap")).alias("gap"), F.when(better, F.array_append("changed", F.col("best.row"))).otherwise(F.col("changed")).alias("changed")), "mix-gap")
+    changed = F.coalesce(F.array_contains("changed", F.col("row")), F.lit(False))
+    return join_small(before(rows), state.select("g", "changed"), "g", "left").withColumn("taken", F.col("taken") != changed).drop("changed")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, seed: int = 1) -> DataFrame:
