@@ -12,6 +12,7 @@ their length on the executors and look their place up.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -29,21 +30,77 @@ END = 1
 ROUNDS, PRICED, SHARE = 1000, 96, 0.5
 #: Pieces of one length ranked together.
 RANKED = 256
-#: Words kept in a worker's table of encoded words; the table is emptied beyond that.
-WORDS = 300_000
+#: Parts of texts, and words of letters, kept in a worker's tables; a table is emptied beyond that.
+PARTS, WORDS = 200_000, 500_000
+#: Words of letters encoded in one call, and the signs that may follow a word without being part of a token of it.
+TOGETHER = 200
+SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
-_known: dict[str, dict[bytes, bytes]] = {}
 
+class Encoder:
+    """The ids of text parts without white space, as bytes.
 
-def word_ids(tokenizer, known: dict[bytes, bytes], words: set[bytes]) -> None:
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > WORDS:
-        known.clear()
-        new = list(words)
-    for start in range(0, len(new), 4096):
-        part = new[start : start + 4096]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    ASCII letters are lower-cased first, as the tokenizer does it anyway. A part of letters with signs
+    behind it has the ids of its letters and of its signs, for no token spans the two. Words of letters
+    are encoded many at once: each is to end with one token that ends a word. Where the count of those
+    differs from that of the words, and for all other parts, each is encoded for itself.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.parts: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def singly(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+
+    def letters(self, words: list[bytes]) -> None:
+        """Put the ids of these words into the table."""
+        for start in range(0, len(words), 64 * TOGETHER):
+            groups = [words[k : k + TOGETHER] for k in range(start, min(start + 64 * TOGETHER, len(words)), TOGETHER)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode("utf-8") for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cuts) == len(group) and cuts[-1] == 4 * len(ids):
+                    flat = ids.tobytes()
+                    self.words.update(zip(group, (flat[i:j] for i, j in zip([0, *cuts], cuts)), strict=True))
+                else:
+                    self.words.update(zip(group, self.singly(group), strict=True))
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Put the ids of these parts into the table."""
+        new = [p for p in parts if p not in self.parts]
+        if len(self.parts) + len(new) > PARTS:
+            self.parts.clear()
+            new = list(parts)
+        whole, split = [], []
+        for p in new:
+            low = p.lower()
+            word = low.rstrip(SIGNS)
+            if word.isalpha() or unicodedata.normalize("NFC", word.decode("utf-8")).lower().isalpha():
+                split.append((p, word, low[len(word) :]))
+            else:
+                whole.append(p)
+        needed = {w for _, w, _ in split}
+        unknown = [w for w in needed if w not in self.words]
+        if len(self.words) + len(unknown) > WORDS:
+            self.words.clear()
+            unknown = list(needed)
+        self.letters(unknown)
+        for start in range(0, len(whole), 4096):
+            some = whole[start : start + 4096]
+            self.parts.update(zip(some, self.singly(some), strict=True))
+        tails = list({t for _, _, t in split})
+        ids = dict(zip(tails, self.singly(tails), strict=True))
+        self.parts.update((p, self.words[w] + ids[t]) for p, w, t in split)
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -55,18 +112,17 @@ def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        known = _known.setdefault(tokenizer_file, {})
+        if tokenizer_file not in _encoders:
+            _encoders[tokenizer_file] = Encoder(tokenizer_file)
+        encoder = _encoders[tokenizer_file]
         end = np.array([END], "<u4").tobytes()
         for rows, data, at in slices(batches, text_col):
             whole = data.tobytes()
             parts = [whole[at[i] : at[i + 1]].replace(b"\n", b" ").split(b" ") for i in range(rows.num_rows)]
-            word_ids(tokenizer, known, {b"", *(w for p in parts for w in p)})
+            encoder.learn({w for p in parts for w in p})
             index, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, p in enumerate(parts):
-                got = b"".join(map(known.__getitem__, p)) + end
+                got = b"".join(map(encoder.parts.__getitem__, p)) + end
                 for k, first in enumerate(range(0, len(got), 4 * capacity)):
                     cut = got[first : first + 4 * capacity]
                     index.append(i)

@@ -117,6 +117,17 @@ def test_mix_edge_cases(spark):
 # ---- packing
 
 
+def test_encoder_has_the_ids_of_whole_texts():
+    rng = np.random.default_rng(3)
+    encoder = packing.Encoder(packing.default_tokenizer())
+    signs = list("aAbİ'.,! \ńéK1½s 二#</w>|")
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 60, 2000)] + ["İ<", "don't. a'll. ''s", "KELVIN K. ΟΔΟΣ.", "</w> a</w>. <|endoftext|>.", "", "\n\n"]
+    for text in texts:
+        parts = text.encode().replace(b"\n", b" ").split(b" ")
+        encoder.learn(set(parts))
+        assert b"".join(encoder.parts[p] for p in parts) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def check_packed(rows, texts: dict) -> None:
     from tokenizers import Tokenizer
 
