@@ -88,14 +88,19 @@ def parse(messages: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """conv_id, turn, reply_to -> thread_root, depth, by pointer doubling: as many rounds as the logarithm of the longest chain."""
-    now = staged(links.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chat-links")
-    while True:
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        new = staged(now.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.coalesce("up2", "up") != F.col("up")).alias("moved")), "chat-links")
-        now = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return now.withColumnRenamed("up", "thread_root")
+    """conv_id, turn, reply_to -> thread_root, depth, by pointer doubling: as many rounds as the logarithm of the longest chain.
+
+    Only messages that do not point to a root yet take part in a round; the others are looked up.
+    """
+    start = F.coalesce("reply_to", "turn").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("reply_to").isNull().alias("done")
+    now = staged(links.select("conv_id", "turn", *start), "chat-links")
+    settled, active = now.where("done"), now.where("not done")
+    while not active.isEmpty():
+        above = settled.unionByName(active).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("done").alias("done2"))
+        jumped = active.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("done2", F.lit(True)).alias("done"))
+        new = staged(jumped, "chat-links")
+        settled, active = settled.unionByName(new.where("done")), new.where("not done")
+    return settled.select("conv_id", "turn", F.col("up").alias("thread_root"), "depth")
 
 
 def threaded(messages: DataFrame, text_col: str = "text") -> DataFrame:
