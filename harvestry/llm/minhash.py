@@ -5,7 +5,9 @@ hashes its shingles once; the smallest hash in each bin is the signature, and an
 bin that its own hash sequence first finds filled. Bands of the signature are buckets. A bucket
 gives a star of candidate edges, from its hub to the others, never all pairs: the first hub is
 the member whose buckets are largest, the centre of its copies; then, as long as new links turn up,
-a member outside the first hub's component takes its turn. Candidates are confirmed on the full sets.
+a member outside the first hub's component takes its turn. The stars only join the bulk cheaply: members of
+buckets that still hold several components then meet in an exact prefix join. Candidates are confirmed
+on the full sets.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import mixed, slices, values
@@ -94,6 +96,25 @@ def confirmed(edges: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     return both.where(100 * common >= level * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """a, b: every pair of members (rep, n, component) of different components whose sets may reach the level.
+
+    Such sets have c >= level * n / 100 shingles in common, and the smaller one c >= 2 * level * n / (100 + level):
+    they share one of their first n - c + 1 in any order of all shingles. Those met in one component only come
+    first, as they give no pair; then the rarest. What follows the shared one bounds what two sets have in common.
+    """
+    held = staged(members.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "component", F.explode("shingles").alias("shingle")), "mh-rest")
+    spread = held.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    spread = staged(spread.select("shingle", "often"), "mh-spread")
+    of_rep = Window.partitionBy("rep")
+    placed = held.join(spread, "shingle").select("rep", "n", "component", "shingle", (F.col("n") - F.count("*").over(of_rep) + F.row_number().over(of_rep.orderBy("often", "shingle"))).alias("place"))
+    first = staged(placed.where(f"place <= n - ceil({level} * n / 100) + 1").withColumn("rest", F.expr("n - place + 1")), "mh-prefixes")
+    small = first.where(f"place <= n - ceil(2 * {level} * n / {100 + level}) + 1")
+    a, b = (x.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "component", "rest")]) for x, k in ((small, "a"), (first, "b")))
+    fits = f"(n_a < n_b or n_a = n_b and rep_a < rep_b) and component_a != component_b and 100 * n_a >= {level} * n_b and 100 * least(rest_a, rest_b) >= {level} * (n_a + n_b - least(rest_a, rest_b))"
+    return a.join(b, (a["shingle"] == b["shingle"]) & F.expr(fits)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, level: int = LEVEL, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (smallest id reachable), kept (id = component_id).
 
@@ -130,6 +151,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if new.isEmpty():
             break
         links, tested = links.unionByName(new), tested.unionByName(more)
+    # All pairs that are left: of different components in one bucket.
+    several = mine.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    rest = staged(mine.join(several, "key").select("rep", "n", "component").distinct(), "mh-open")
+    pairs = prefix_pairs(rest, sets, level).join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    new = staged(confirmed(staged(pairs, "mh-edges"), sets, level), "mh-links")
+    if not new.isEmpty():
+        found = staged(components(links.unionByName(new)), "mh-components")
     of_class = staged(classes.select("set_key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "mh-class-components")
     some = every.where("set_key is not null").join(of_class, "set_key").select("id", "n_shingles", F.col("component").alias("component_id"))
     none = every.where("set_key is null").select("id", "n_shingles", F.col("id").alias("component_id"))

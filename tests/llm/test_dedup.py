@@ -104,6 +104,25 @@ def test_near_dedup_groups_and_edges(spark):
     assert near(docs(spark, [])) == {}
 
 
+def test_near_dedup_finds_pairs_among_records_of_one_template(spark):
+    rng = random.Random(7)
+    template = [f"t{i}" for i in range(200)]
+
+    def changed(words, *at):
+        return [f"v{rng.randrange(10**9)}" if k in at else w for k, w in enumerate(words)]
+
+    rows = []
+    for i in range(600):  # 173 of 197 shingles of the template: 0.78 to another record
+        words = changed(template, 10, 40, 70, 100, 130, 160)
+        rows.append((10 * i, " ".join(words)))
+        if i % 20 == 0:  # one change in common: 177 of 197, 0.82
+            rows.append((10 * i + 5, " ".join(changed(words, 40, 70, 100, 130, 160))))
+    want = {i: (len(shingles(t, 4)), i - i % 10, i % 10 == 0) for i, t in rows}
+    some = rows[:80]
+    assert brute_near(some, 4, 80) == {i: want[i] for i, _ in some}
+    assert near(docs(spark, rows), words=4, level=80) == want
+
+
 def test_near_dedup_repeated_rows_and_null_ids(spark):
     got = minhash.near_duplicates(docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None)])).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1)]
