@@ -3,9 +3,10 @@
 Documents are tokenised and cut into pieces; what goes to the driver is only the histogram of piece
 lengths, whose size is bounded by the sequence length. There multiplicative weights on the lengths
 price configurations (full sequences), a knapsack dynamic program finds the best one in each round,
-and each gets a share of the lengths it uses. The fractional solution is rounded down; what is
-left is placed by best fit, decreasing, in groups of like sequences. The result is a table of
-bounded size: which ranks of a length go to which configuration. Pieces get their rank within
+and each gets a share of the lengths it uses. The fractional solution is rounded down, first where
+sequences are full; of what is left the program is solved again and rounded down whether full or not,
+if that saves sequences. The rest is placed by best fit, decreasing, in groups of like sequences. The
+result is a table of bounded size: which ranks of a length go to which configuration. Pieces get their rank within
 their length on the executors and look their place up.
 """
 
@@ -140,13 +141,14 @@ def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
 
 
 def best_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming over the capacities: the multiset of lengths of highest price that fits. A length may be used up to 7 times: as 1, 2 and 4 of it."""
+    """Knapsack by dynamic programming over the capacities: the multiset of lengths of highest price that fits. A length may be used as often as it fits, in parts of 1, 2, 4 and so on."""
     value = np.zeros(capacity + 1)
     taken: list[tuple[int, int, np.ndarray]] = []
     for length, p in zip(lengths.tolist(), price.tolist(), strict=True):
-        for times in (1, 2, 4):
-            if (size := times * length) > capacity:
-                break
+        free, part = capacity // length, 1
+        while free:
+            times = min(part, free)
+            free, part, size = free - times, 2 * part, times * length
             got = value[:-size] + times * p
             better = got > value[size:]
             taken.append((length, times, better))
@@ -179,9 +181,53 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUND
     return found
 
 
+def rounded(histogram: dict[int, int], found: list[tuple[dict[int, int], float]]) -> list[tuple[int, dict[int, int]]]:
+    """Configurations and whole numbers of sequences, those of most first: their shares of all rounds, scaled to the demand and rounded down."""
+    share: dict[tuple, float] = {}
+    use: dict[int, float] = {}
+    for config, x in found:
+        key = tuple(sorted(config.items()))
+        share[key] = share.get(key, 0) + x
+        for length, a in key:
+            use[length] = use.get(length, 0) + a * x
+    over = max((n / histogram[length] for length, n in use.items()), default=1)
+    left, out = dict(histogram), []
+    for key, x in sorted(share.items(), key=lambda s: (-s[1], s[0])):
+        n = min(int(x / over + 1e-9), *(left[length] // a for length, a in key))
+        if n > 0:
+            out.append((n, dict(key)))
+            for length, a in key:
+                left[length] -= n * a
+    return out
+
+
 def packed(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
     """Groups of like sequences, (count, {length: times}), that hold every piece of the histogram once."""
     left = {x: n for x, n in histogram.items() if n}
+    closed: list[tuple[int, dict[int, int]]] = []
+    if full := left.pop(capacity, 0):
+        closed.append((full, {capacity: 1}))
+    # Rounded down: the linear program's full sequences, in the order found, as far as pieces are left.
+    for config, x in configurations(left, capacity, rounds):
+        if sum(k * a for k, a in config.items()) < capacity:
+            continue
+        n = min(int(x), *(left[length] // a for length, a in config.items()))
+        if n > 0:
+            for length, a in config.items():
+                left[length] -= n * a
+            closed.append((n, config))
+    left = {x: n for x, n in left.items() if n}
+    rest = best_fit(left, [], capacity)
+    # Nothing beats as many sequences as the tokens fill.
+    if sum(n for n, _ in rest) * capacity >= sum(x * n for x, n in left.items()) + capacity:
+        other = best_fit(left, rounded(left, configurations(left, capacity, rounds)), capacity)
+        rest = min(rest, other, key=lambda groups: sum(n for n, _ in groups))
+    return closed + rest
+
+
+def best_fit(histogram: dict[int, int], begun: list[tuple[int, dict[int, int]]], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Groups for every piece of the histogram: those begun, whose room stays open, and what they do not hold by best fit, decreasing."""
+    left = dict(histogram)
     open_at: dict[int, list[list]] = {}  # room left -> groups
     rooms: list[int] = []
     closed: list[tuple[int, dict[int, int]]] = []
@@ -197,18 +243,11 @@ def packed(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = RO
             insort(rooms, room)
         open_at[room].append([count, items])
 
-    if full := left.pop(capacity, 0):
-        put(full, {capacity: 1}, 0)
-    # Rounded down: the linear program's full sequences, in the order found, as far as pieces are left.
-    for config, x in configurations(left, capacity, rounds):
-        if sum(k * a for k, a in config.items()) < capacity:
-            continue
-        n = min(int(x), *(left[length] // a for length, a in config.items()))
-        if n > 0:
-            for length, a in config.items():
-                left[length] -= n * a
-            put(n, dict(config), capacity - sum(k * a for k, a in config.items()))
-    # Best fit, decreasing: a group of like sequences takes pieces of one length together.
+    for count, items in begun:
+        for length, a in items.items():
+            left[length] -= count * a
+        put(count, items, capacity - sum(k * a for k, a in items.items()))
+    # A group of like sequences takes pieces of one length together.
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:

@@ -163,6 +163,15 @@ def test_packing_edge_cases(spark):
     assert packing.pack_documents(frame.limit(0), packing.default_tokenizer()).count() == 0
 
 
+def test_packed_groups_without_full_sequences():
+    """1500 + 1250 + 1250 and 2 x 1500 need 0.75 sequences for each piece of a length; best fit alone makes 0.83."""
+    groups = packing.packed({1500: 10_000, 1250: 10_000})
+    held = {x: sum(n * items.get(x, 0) for n, items in groups) for x in (1500, 1250)}
+    assert held == {1500: 10_000, 1250: 10_000} and all(sum(x * a for x, a in items.items()) <= 4096 for _, items in groups)
+    assert sum(n for n, _ in groups) <= 7550
+    assert packing.best_configuration(np.array([300]), np.array([300.0]), 4096) == {300: 13}
+
+
 @pytest.mark.parametrize("capacity", [10, 37])
 def test_packed_groups_hold_every_piece_once(capacity):
     rng = np.random.default_rng(4)
