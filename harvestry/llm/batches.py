@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a slice of its own.
-SLICE = 3 << 20
+SLICE = 1 << 20
 
 
 def texts(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -30,6 +33,16 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are used again by the next stages, and what they hold adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if name := ctypes.util.find_library("c"):
+        trim = getattr(ctypes.CDLL(name), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of at most `limit` bytes or one row."""
     for batch in batches:
@@ -40,6 +53,7 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = SLICE) ->
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last
+    release()
 
 
 def values(batch: pa.RecordBatch, name: str) -> pa.Array:

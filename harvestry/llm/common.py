@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,20 +15,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Only a local session may lack one (tests); on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            context.setCheckpointDir("/tmp/harvestry-checkpoints")
-            found = context.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -36,6 +42,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Staged tables made inside are deleted at the end: what is to be kept must have been written elsewhere, or before."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        del _made[first:]
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join that broadcasts `small` only if a count shows at most BROADCAST_ROWS rows; beyond that a shuffle join, which AQE splits where a key is hot. `small` should be staged: it is counted."""
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -45,10 +64,3 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> Data
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path of the shared folder."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

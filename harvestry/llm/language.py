@@ -1,8 +1,8 @@
 """Language identification by bit-sliced Bloom filters over n-grams.
 
 Training counts letter n-grams per language over all labelled rows and keeps those that make up at
-least 1 / GRAMS of their language's n-grams: GRAMS of a language at most, however large the corpus.
-The filters of all languages share their hash functions and are stored bit-sliced: a table slot is
+least 1 / `kept` of their language's n-grams: `kept` of a language at most, however large the corpus,
+so that chance n-grams (names, typing errors) of a large corpus don't fill the filters. The filters of all languages share their hash functions and are stored bit-sliced: a table slot is
 a bitmask of languages, so the AND of an n-gram's slots names every language that has it. A
 document's n-grams are looked up, set bits counted per language, counts corrected by each filter's
 false positive rate, and the largest corrected count decides.
@@ -20,10 +20,12 @@ from .common import documents, staged
 
 #: Letters of an n-gram; the edge of a word counts as a letter.
 SIZES = (3, 4)
-#: n-grams of a language kept at most.
+#: n-grams of a language kept at most, unless `learn` is told otherwise.
 GRAMS = 12_000
 #: Bytes of text whose n-grams are held at once.
-PART = 1 << 20
+PART = 1 << 19
+#: n-grams counted in a task before their sums are passed on.
+HELD = 500_000
 #: Slots of the bit-sliced table and hash functions.
 SLOTS, HASHES = 1 << 18, 3
 
@@ -86,7 +88,7 @@ def counted(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     both, where = np.unique(np.concatenate([held[lang][0], gram]), return_inverse=True)
                     gram, n = both, np.bincount(where, np.concatenate([held[lang][1], n])).astype(np.int64)
                 held[lang] = [gram, n]
-            if sum(len(g) for g, _ in held.values()) > 2_000_000:
+            if sum(len(g) for g, _ in held.values()) > HELD:
                 yield from emit()
         yield from emit()
 
@@ -129,21 +131,27 @@ class Filters:
         return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """The filters of all languages of `docs`; rows of null language are passed over, null text counts as empty."""
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", kept: int = GRAMS) -> Filters:
+    """The filters of all languages of `docs`; rows of null language are passed over, null text counts as empty.
+
+    Repeated rows count again; other columns are ignored. `kept` bounds what the driver gathers: that many
+    n-grams of each language.
+    """
     known = docs.where(F.col(lang_col).isNotNull())
     sums = staged(counted(known, text_col, lang_col).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     totals = staged(sums.groupBy("lang").agg(F.sum("n").alias("total")), "lang-totals")
-    rows = sums.join(totals, "lang").where(F.col("n") * GRAMS >= F.col("total")).select("lang", "gram").collect()  # GRAMS of each language at most
+    rows = sums.join(totals, "lang").where(F.col("n") * kept >= F.col("total")).select("lang", "gram").collect()  # `kept` of each language at most
     names = [r["lang"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
     return Filters(sorted(names), [(r["lang"], r["gram"]) for r in rows], names[0] if names else None)
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`carry`, lang_pred, score (share of the decided language in all counts), coverage (part of the n-grams that it has).
+    """`carry`, lang_pred, score (share of the decided language in all counts), coverage (part of the n-grams that it has), n_grams.
 
     A text without letters, or null, is `und` with score 0; letters that no filter knows are the most
     frequent language with score 0. Ties go to the first name. Without learned languages all is `und`.
+    Repeated rows get the same answer each; columns not in `carry` are left out, and those in it may have
+    any name but the four that are added. Texts are read in slices: a very long one is a slice of its own.
     """
     held = docs.sparkSession.sparkContext.broadcast(filters)  # fixed size: SLOTS words per 64 languages
 
@@ -162,10 +170,11 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", carry: t
             some = (letters > 0) & (total > 0)
             score = np.where(some, top / np.maximum(total, 1e-9), 0.0)
             cover = np.where(some, np.minimum(1, top / np.maximum(np.bincount(whose, minlength=n), 1)), 0.0)
-            yield pa.RecordBatch.from_arrays([*(values(rows, c) for c in carry), pa.array(names[pick], pa.string()), pa.array(score), pa.array(cover)], names=[*carry, "lang_pred", "score", "coverage"])
+            many = pa.array(np.bincount(whose, minlength=n), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(values(rows, c) for c in carry), pa.array(names[pick], pa.string()), pa.array(score), pa.array(cover), many], names=[*carry, "lang_pred", "score", "coverage", "n_grams"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, text_col).mapInArrow(run, f"{kinds}, lang_pred string, score double, coverage double")
+    return docs.select(*carry, text_col).mapInArrow(run, f"{kinds}, lang_pred string, score double, coverage double, n_grams long")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,6 +1,6 @@
 """Near-duplicate detection by one-permutation hashing with optimal densification.
 
-Texts with the same shingle set are one class, represented by its smallest identifier. Each class
+Texts with the same shingle set are one class, with a number of its own. Each class
 hashes its shingles once; the smallest hash in each bin is the signature, and an empty bin copies the
 bin that its own hash sequence first finds filled. Bands of the signature are buckets. A bucket
 gives a star of candidate edges, from its hub to the others, never all pairs: the first hub is
@@ -64,7 +64,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int, bands: in
             for k in range(rows):
                 key = mixed(key * np.uint64(31) + sig[:, :, k])
             n = np.diff(ends)
-            digests = [hashlib.blake2b(sets[ends[i] : ends[i + 1]].tobytes(), digest_size=16).hexdigest() if n[i] else None for i in range(len(n))]
+            digests = [digest(sets[ends[i] : ends[i + 1]]) for i in range(len(n))]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([values(part, id_col), pa.array(n, pa.int64()), pa.array(digests, pa.string()), lists], names=["id", "n_shingles", "set_key", "keys"])
 
@@ -72,26 +72,31 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int, bands: in
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, set_key string, keys array<long>")
 
 
+def digest(shingles: np.ndarray) -> str | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest() if len(shingles) else None
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, shingles (array of hashes) of the wanted ids. A bit filter of fixed size keeps most other rows out before the shuffle."""
-    slot = f"cast(pmod(xxhash64(id), {FILTER_BITS}) as int)"
-    bits = wanted.select(F.expr(f"cast({slot} / 64 as int)").alias("word"), F.expr(f"shiftleft(1L, {slot} % 64)").alias("bit")).unionByName(docs.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bit")))
+    """rep, shingles (array of hashes) of the wanted classes (rep, first_id, set_key). A bit filter of fixed size keeps most other rows out before the shuffle."""
+    asked = wanted.select("rep", "set_key", F.xxhash64("first_id").alias("h"))
+    slot = f"cast(pmod(h, {FILTER_BITS}) as int)"
+    bits = asked.select(F.expr(f"cast({slot} / 64 as int)").alias("word"), F.expr(f"shiftleft(1L, {slot} % 64)").alias("bit")).unionByName(docs.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bit")))
     bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("bits", F.element_at(staged(bits, "mh-filter").scalar(), F.expr(f"cast({slot} / 64 as int) + 1")))
-    rows = rows.where(F.expr(f"shiftright(bits, {slot} % 64) & 1 = 1")).select("id", "text").join(wanted, "id")
+    rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).withColumn("bits", F.element_at(staged(bits, "mh-filter").scalar(), F.expr(f"cast({slot} / 64 as int) + 1")))
+    rows = rows.where(F.expr(f"shiftright(bits, {slot} % 64) & 1 = 1")).select("h", "text").join(asked.select("h").distinct(), "h", "left_semi")
 
     def run(batches):
-        for part, data, at in slices(batches, "text"):
+        for _, data, at in slices(batches, "text"):
             sets, ends = shingle_sets(data, at, words)
-            yield pa.RecordBatch.from_arrays([values(part, "id"), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(sets.view(np.int64))).cast(pa.list_(pa.int64()))], names=["id", "shingles"])
+            keys = [digest(sets[ends[i] : ends[i + 1]]) for i in range(len(ends) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(sets.view(np.int64))).cast(pa.list_(pa.int64()))], names=["set_key", "shingles"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, shingles array<long>")
+    return rows.mapInArrow(run, "set_key string, shingles array<long>").join(asked.select("rep", "set_key"), "set_key").groupBy("rep").agg(F.any_value("shingles").alias("shingles"))
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     """The edges a (member), b (hub) whose sets reach the level: 100 * common >= level * all."""
-    both = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = edges.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= level * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -103,7 +108,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     they share one of their first n - c + 1 in any order of all shingles. Those met in one component only come
     first, as they give no pair; then the rarest. What follows the shared one bounds what two sets have in common.
     """
-    held = staged(members.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "component", F.explode("shingles").alias("shingle")), "mh-rest")
+    held = staged(members.join(sets, "rep").select("rep", "n", "component", F.explode("shingles").alias("shingle")), "mh-rest")
     spread = held.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     spread = staged(spread.select("shingle", "often"), "mh-spread")
     of_rep = Window.partitionBy("rep")
@@ -118,12 +123,14 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, level: int = LEVEL, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (smallest id reachable), kept (id = component_id).
 
-    Null or empty text, or one without words, is linked with nothing. Repeated rows share a component.
-    Rows with a null id only form components by equal shingle sets and are not kept beside others.
+    Null or empty text, or one without words, is linked with nothing. Repeated rows share a component, as do
+    rows that repeat an id where their texts are alike: links are between shingle sets, whatever the
+    ids. A null id comes after all others. Ids may be of any type that has an order; other columns are
+    ignored; no rows give no rows; texts are read in slices, a very long one in a slice of its own.
     """
     every = staged(described(docs, id_col, text_col, words, bands, rows), "mh-signatures")
-    classes = staged(every.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys")), "mh-classes")
-    cells = classes.where("rep is not null").select("rep", "n", F.explode("keys").alias("key"))
+    classes = staged(every.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("first_id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id()), "mh-classes")
+    cells = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = staged(cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "mh-buckets")
     live = staged(cells.join(shared, "key"), "mh-members")  # members of buckets that hold several classes
     central = staged(live.groupBy("rep").agg(F.sum("size").alias("central")), "mh-central")
@@ -132,7 +139,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = live.join(hubs, "key").where("rep != hub")
     fit = f"100 * least(n, hub_n) >= {level} * greatest(n, hub_n)"
     edges = staged(star.where(fit).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "mh-edges")
-    sets = staged(full_sets(docs, staged(live.select(F.col("rep").alias("id")).distinct(), "mh-wanted"), id_col, text_col, words).groupBy("id").agg(F.any_value("shingles").alias("shingles")), "mh-sets")
+    wanted = staged(classes.select("rep", "first_id", "set_key").join(central, "rep", "left_semi"), "mh-wanted")
+    sets = staged(full_sets(docs, wanted, id_col, text_col, words), "mh-sets")
     links, tested = staged(confirmed(edges, sets, level), "mh-links"), edges
     turn = 0
     while True:
@@ -158,7 +166,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     new = staged(confirmed(staged(pairs, "mh-edges"), sets, level), "mh-links")
     if not new.isEmpty():
         found = staged(components(links.unionByName(new)), "mh-components")
-    of_class = staged(classes.select("set_key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "mh-class-components")
+    found = found.select(F.col("node").alias("rep"), "component")
+    named = staged(classes.join(found, "rep").groupBy("component").agg(F.min("first_id").alias("component_id")), "mh-names")
+    of_class = classes.select("set_key", "rep", "first_id").join(found, "rep", "left").join(named, "component", "left")
+    of_class = staged(of_class.select("set_key", F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component")), "mh-class-components")
     some = every.where("set_key is not null").join(of_class, "set_key").select("id", "n_shingles", F.col("component").alias("component_id"))
     none = every.where("set_key is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return some.unionByName(none).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

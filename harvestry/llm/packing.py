@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import slices, values
-from .common import documents, staged
+from .common import documents, join_small, staged
 
 CAPACITY = 4096
 END = 1
@@ -32,7 +32,7 @@ ROUNDS, PRICED, SHARE = 1000, 96, 0.5
 #: Pieces of one length ranked together.
 RANKED = 256
 #: Parts of texts, and words of letters, kept in a worker's tables; a table is emptied beyond that.
-PARTS, WORDS = 200_000, 500_000
+PARTS, WORDS = 40_000, 80_000
 #: Words of letters encoded in one call, and the signs that may follow a word without being part of a token of it.
 TOGETHER = 200
 SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -58,13 +58,13 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
 
     def singly(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def letters(self, words: list[bytes]) -> None:
         """Put the ids of these words into the table."""
         for start in range(0, len(words), 64 * TOGETHER):
             groups = [words[k : k + TOGETHER] for k in range(start, min(start + 64 * TOGETHER, len(words)), TOGETHER)]
-            for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode("utf-8") for g in groups], add_special_tokens=False), strict=True):
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode("utf-8", "replace") for g in groups], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
                 if len(cuts) == len(group) and cuts[-1] == 4 * len(ids):
@@ -83,7 +83,7 @@ class Encoder:
         for p in new:
             low = p.lower()
             word = low.rstrip(SIGNS)
-            if word.isalpha() or unicodedata.normalize("NFC", word.decode("utf-8")).lower().isalpha():
+            if word.isalpha() or unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha():
                 split.append((p, word, low[len(word) :]))
             else:
                 whole.append(p)
@@ -101,9 +101,6 @@ class Encoder:
         self.parts.update((p, self.words[w] + ids[t]) for p, w, t in split)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces: id_col, piece, start, length, ids_crc32, and their ids if asked for.
 
@@ -113,9 +110,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer_file not in _encoders:
-            _encoders[tokenizer_file] = Encoder(tokenizer_file)
-        encoder = _encoders[tokenizer_file]
+        encoder = Encoder(tokenizer_file)
         end = np.array([END], "<u4").tobytes()
         for rows, data, at in slices(batches, text_col):
             whole = data.tobytes()
@@ -304,12 +299,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, by=(
     sizes = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length long, buckets long")
     where = spark.createDataFrame(table, "length long, first_rank long, last_rank long, times long, first_sequence long, first_offset long")
     # The rank within a length: buckets of about RANKED pieces, counted, and their counts summed up.
-    rows = pieces.join(F.broadcast(sizes), "length").withColumn("bucket", F.pmod(F.xxhash64(*by), F.col("buckets"))).drop("buckets")
+    rows = join_small(pieces, sizes, "length").withColumn("bucket", F.pmod(F.xxhash64(*by), F.col("buckets"))).drop("buckets")
     run = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*by)) - 1).join(counts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth"))
-    spot = F.broadcast(where.withColumnRenamed("length", "of_length"))
-    ranked = ranked.join(spot, (F.col("length") == F.col("of_length")) & F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
+    spot = where.withColumnRenamed("length", "of_length")
+    ranked = join_small(ranked, spot, (F.col("length") == F.col("of_length")) & F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
     nth = F.col("rank") - F.col("first_rank")
     return ranked.select(*pieces.columns, (F.col("first_sequence") + F.floor(nth / F.col("times"))).alias("sequence_id"), (F.col("first_offset") + nth % F.col("times") * F.col("length")).alias("offset"))
 
