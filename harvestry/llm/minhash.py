@@ -3,11 +3,10 @@
 Texts with the same shingle set are one class, with a number of its own. Each class
 hashes its shingles once; the smallest hash in each bin is the signature, and an empty bin copies the
 bin that its own hash sequence first finds filled. Bands of the signature are buckets. A bucket
-gives a star of candidate edges, from its hub to the others, never all pairs: the first hub is
-the member whose buckets are largest, the centre of its copies; then, as long as new links turn up,
-a member outside the first hub's component takes its turn. The stars only join the bulk cheaply: members of
-buckets that still hold several components then meet in an exact prefix join. Candidates are confirmed
-on the full sets.
+gives a star of candidate edges, from its hub to the others, never all pairs: the hub is the
+member whose buckets are largest, the centre of its copies. The stars join the bulk cheaply: members of
+buckets that still hold several components then meet in an exact prefix join, so that every pair in
+one bucket is linked or ruled out. Candidates are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -141,28 +140,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = staged(star.where(fit).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "mh-edges")
     wanted = staged(classes.select("rep", "first_id", "set_key").join(central, "rep", "left_semi"), "mh-wanted")
     sets = staged(full_sets(docs, wanted, id_col, text_col, words), "mh-sets")
-    links, tested = staged(confirmed(edges, sets, level), "mh-links"), edges
-    turn = 0
-    while True:
-        found = staged(components(links), "mh-components")
-        turn += 1
-        mine = live.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        hub_of = staged(hubs.join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left").select("key", F.coalesce("hub_component", "hub").alias("hub_component")), "mh-hub-components")
-        mine = staged(mine.join(hub_of, "key"), "mh-turn")
-        pick = F.max(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("x"), "rep", "n", "component"))
-        others = staged(mine.where("component != hub_component").groupBy("key").agg(pick.alias("o")).select("key", F.col("o.rep").alias("hub"), F.col("o.n").alias("hub_n"), F.col("o.component").alias("other")), "mh-others")
-        more = mine.join(others, "key").where("component != other").where(fit).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        more = staged(more.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "mh-edges")
-        if more.isEmpty():
-            break
-        new = staged(confirmed(more, sets, level), "mh-links")
-        if new.isEmpty():
-            break
-        links, tested = links.unionByName(new), tested.unionByName(more)
-    # All pairs that are left: of different components in one bucket.
+    links = staged(confirmed(edges, sets, level), "mh-links")
+    found = staged(components(links), "mh-components")
+    # All pairs that the stars leave over: of different components in one bucket.
+    mine = live.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mine = staged(mine, "mh-placed")
     several = mine.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     rest = staged(mine.join(several, "key").select("rep", "n", "component").distinct(), "mh-open")
-    pairs = prefix_pairs(rest, sets, level).join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    pairs = prefix_pairs(rest, sets, level)
+    pairs = pairs.join(edges, ["a", "b"], "left_anti").join(edges.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     new = staged(confirmed(staged(pairs, "mh-edges"), sets, level), "mh-links")
     if not new.isEmpty():
         found = staged(components(links.unionByName(new)), "mh-components")
