@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -140,3 +141,53 @@ def test_an_empty_table_is_a_store_without_rows(spark):
     store = sharding.Store(spark, fresh_path(spark, "test-store"))
     store.append(spark.createDataFrame([], "doc_id long, text string"))
     assert not store.compact() and store.manifest().count() == 0
+    assert store.read(store.manifest(), "tier").columns == ["doc_id", "text", "shard_path", "tier"] and store.read(store.manifest()).count() == 0
+
+
+def test_the_query_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries()["op10_tiered_shards"](spark, str(tmp_path)).count() == 0
+
+
+def brute_tiers(sizes: dict[str, int], target: int) -> set[frozenset[str]]:
+    """The groups of paths that one round merges."""
+    tiers: dict[int, list[str]] = {}
+    for path in sorted(sizes):
+        if 2 * sizes[path] <= target:
+            tiers.setdefault(int(math.log(max(1, sizes[path]), 4) + 1e-9), []).append(path)
+    groups = set()
+    for paths in tiers.values():
+        if len(paths) < sharding.LEAST_RUNS:
+            continue
+        cuts, before = {}, 0
+        for p in paths:
+            cuts.setdefault(before // target, []).append(p)
+            before += sizes[p]
+        groups |= {frozenset(own) for own in cuts.values() if len(own) > 1}
+    return groups
+
+
+def test_rounds_merge_the_groups_that_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ARRIVAL_ROWS", 7)
+    store = sharding.Store(spark, fresh_path(spark, "test-store"), target=3000)
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, "x" * rng.choice([1, 30, 200]) if i % 5 else None, i) for i in range(300)]
+    store.append(spark.createDataFrame(rows, "doc_id long, text string, group long").repartition(6))
+    rounds = 0
+    while True:
+        before = {r.path: r for r in store.manifest().collect()}
+        want = brute_tiers({p: r.n_bytes for p, r in before.items()}, 3000)
+        got: dict = {}
+        for r in store.plan(store.manifest()).collect():
+            got.setdefault(r.shard_group, set()).add(r.path)
+        assert {frozenset(g) for g in got.values()} == want
+        assert store.compact() == bool(want)
+        if not want:
+            break
+        rounds += 1
+        after = {r.path: r for r in store.manifest().collect()}
+        new = [after[p] for p in after.keys() - before.keys()]
+        assert sorted(r.n_bytes for r in new) == sorted(sum(before[p].n_bytes for p in g) for g in want)
+        held = {r.shard_path: r for r in store.read(store.manifest()).groupBy("shard_path").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"), F.min("doc_id").alias("lo")).collect()}
+        assert all((held[r.path].n, held[r.path].b or 0, held[r.path].lo) == (r.n_rows, r.n_bytes, r.min_id) for r in after.values())
+    assert rounds and sorted((r.doc_id or 0, r.text or "", r.group) for r in store.read(store.manifest()).collect()) == sorted((i or 0, t or "", g) for i, t, g in rows)
