@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
 A source's target is its weight's share of the whole size, at most `cap` times the source's own
-size; what is above is shared again by weight. A document's expected copies are target over source
-size: the whole part is allocated as certain copies, the rest is its inclusion probability p. Ranks
-are random odds over inclusion odds, q = u/(1-u) / (p/(1-p)); in rank order documents are taken
-until the words asked for are reached. The threshold is found from sums over rank cells, refined
-twice, so that no source is ever sorted in one task.
+size; what is above is shared again by weight. Target over source size is the copies expected: the
+whole part are certain copies of every document, the rest is sampled. A document's inclusion
+probability p grows with the square root of its size, longer documents being worth more for their
+length, and is one at most; p * size adds up to the words asked for. Ranks are random odds over
+inclusion odds, q = u/(1-u) / (p/(1-p)). The sample has a fixed size in words: documents are taken in
+rank order as long as they fit. The threshold is found from sums over rank cells, refined until
+single rows are left, so that no source is ever sorted in one task.
 """
 
 from __future__ import annotations
@@ -19,8 +21,12 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: Rank cells of each of the two refinements.
 CELLS = 2048
-#: Changes that bring the words of a source closer to its target after the cut in rank order.
-CORRECTIONS = 4
+#: What places a row in the order of ranks: two refinements of q, then q itself with what tells its text, then, among rows alike in all that, where they are in the input.
+LEVELS = ("c1", "c2", "tie", "part", "row")
+#: Documents beyond the first that does not fit, taken one by one in rank order if they do.
+FILLS = 3
+#: Changes made to sources with few documents, whose words are off by more than this share of what is asked for.
+CHANGES, NEAR = 4, 0.01
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -37,18 +43,35 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     rows = rows.withColumn("ratio", F.lit(cap) * F.col("source_size") / F.col("w"))
     left_words = F.sum("source_size").over(every) - F.coalesce(F.sum(F.lit(cap) * F.col("source_size")).over(before), F.lit(0.0))
     left_weight = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    rows = rows.withColumn("level", left_words / left_weight)
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(every)["level"]
+    rows = rows.withColumn("level", left_words / left_weight).withColumn("nth", F.row_number().over(ratio))
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("nth", "level"))).over(every)["level"]
     target = F.least(F.lit(cap) * F.col("source_size"), F.col("w") * F.coalesce(level, F.lit(0.0)))
     return rows.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
-def uniform(id_col: str, seed: int) -> F.Column:
-    """A number in (0, 1) from the identifier, the same in every run and in any SQL engine with md5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+def uniform(seed: int) -> F.Column:
+    """A number in (0, 1) from the identifier and the text, the same in every run and in any SQL engine with md5."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("mark")))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def inclusion(rows: DataFrame) -> DataFrame:
+    """rows: g, size, part_wanted (share of the source's words to sample) -> with p = min(1, c * sqrt(size)), c for each source so that p * size adds up.
+
+    From the histogram of sizes: with all sizes above some one certain, c follows; the largest size that this c does not make certain is right.
+    """
+    sizes = rows.where("size > 0").groupBy("g", "size").agg(F.count("*").alias("n"), F.max("part_wanted").alias("part_wanted"))
+    down = Window.partitionBy("g").orderBy(F.desc("size"))
+    words, root = F.col("size") * F.col("n"), F.sqrt("size")
+    certain = F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(root * words).over(down.rowsBetween(0, Window.unboundedFollowing))
+    c = (F.col("part_wanted") * F.sum(words).over(Window.partitionBy("g")) - certain) / rest
+    found = sizes.withColumn("c", c).where(F.col("c") * root <= 1 + 1e-9).groupBy("g").agg(F.max_by("c", "size").alias("c"))
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("c", F.lit(0.0)) * root))
+    p = F.when(p > 1 - 1e-9, 1.0).when(p < 1e-12, 0.0).otherwise(p)
+    return join_small(rows, staged(found, "mix-inclusion"), "g", "left").withColumn("p", p).drop("c")
+
+
 def below(rows: DataFrame, cell: str, limits: DataFrame) -> DataFrame:
     """For each source the first cell whose words pass `want`: g, want less the cells before it, that cell."""
     sums = rows.groupBy("g", cell).agg(F.sum("size").alias("words"))
@@ -58,54 +81,81 @@ def below(rows: DataFrame, cell: str, limits: DataFrame) -> DataFrame:
     return sums.groupBy("g").agg(passed.alias("x")).where("x is not null").select("g", F.col(f"x.{cell}").alias(f"at_{cell}"), F.col("x.rest").alias("want"))
 
 
-def pareto_sample(rows: DataFrame, corrections: int = CORRECTIONS) -> DataFrame:
-    """rows: g (source), row, id, size, p, u -> with boolean `taken`, each source's words close to sum(p * size).
+def pareto_sample(rows: DataFrame, fills: int = FILLS) -> DataFrame:
+    """rows: g (source), row, id, mark, size, p, u -> with boolean `taken`, each source's words close to sum(p * size).
 
-    Documents are taken in the order of q as long as the words fit. Then, `corrections` times, each
-    source makes the one change that leaves the least difference from the words asked for: one more
-    document, even if it goes beyond them, or one less. A change that would not lessen the difference
-    is not made. Rows without words or with p = 0 are not taken.
+    Documents are taken in the order of q as long as their words fit; after the first that does not, up to
+    `fills` later ones that still do, in the same order. Sources whose words are then still off by more than
+    NEAR, as those with few documents may be, make up to CHANGES changes, each the one that leaves the least
+    difference: a document more or less, or in the later half one for another. Rows without words or with
+    p = 0 are not taken.
     """
-    q = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
-    rows = rows.withColumn("q", F.when(F.col("p") > 0, q))
+    q = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p")))
+    rows = rows.withColumn("q", q).withColumn("tie", F.struct("q", "id", "mark")).withColumn("part", F.shiftright("row", 33))
     scaled = F.col("q") / (1 + F.col("q")) * CELLS
     rows = staged(rows.withColumn("c1", F.floor(scaled)).withColumn("c2", F.floor((scaled - F.floor(scaled)) * CELLS)), "mix-ranked")
     live = rows.where("q is not null and size > 0")
-    want = staged(live.groupBy("g").agg(F.sum(F.col("p") * F.col("size")).alias("want")), "mix-want")
-    first = staged(below(live, "c1", want), "mix-cell1")
-    second = staged(below(join_small(live, first.select("g", "at_c1"), "g").where("c1 = at_c1"), "c2", first.select("g", "want")), "mix-cell2")
-    edge = join_small(join_small(live, first.select("g", "at_c1"), "g").where("c1 = at_c1"), second, "g").where("c2 = at_c2")
-    run = Window.partitionBy("g").orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    over = edge.withColumn("over", F.sum("size").over(run) > F.col("want")).where("over").groupBy("g").agg(F.min(F.struct("q", "id", "size")).alias("stop"))
-    cut = staged(over, "mix-cut")  # the first document of each source that no longer fits
-    before = lambda frame: join_small(frame, cut, "g", "left").withColumn("taken", F.col("q").isNotNull() & (F.col("size") > 0) & (F.col("stop").isNull() | (F.struct("q", "id", "size") < F.col("stop")))).drop("stop")
-    gap = F.sum(F.col("p") * F.col("size")) - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))
-    state = staged(before(live).groupBy("g").agg(gap.alias("gap")).withColumn("changed", F.array().cast("array<bigint>")), "mix-gap")  # one row for each source
-    for _ in range(corrections):
-        after = F.col("gap") + F.when(F.col("taken"), F.col("size")).otherwise(-F.col("size"))
-        open_rows = join_small(before(live), state, "g").where(~F.array_contains("changed", F.col("row"))).withColumn("after", after).where(F.abs("after") < F.abs("gap"))
-        best = open_rows.groupBy("g").agg(F.min(F.struct(F.abs("after").alias("miss"), "taken", "q", "id", "row", "after")).alias("best"))
-        better = F.col("best").isNotNull()
-        state = staged(state.join(best, "g", "left").select("g", F.when(better, F.col("best.after")).otherwise(F.col("gap")).alias("gap"), F.when(better, F.array_append("changed", F.col("best.row"))).otherwise(F.col("changed")).alias("changed")), "mix-gap")
+    asked = staged(live.groupBy("g").agg(F.sum(F.col("p") * F.col("size")).alias("want")), "mix-want")
+    edge, want = live, asked
+    for level in LEVELS:
+        want = staged(below(edge, level, want), "mix-cell")
+        edge = join_small(edge, want.select("g", f"at_{level}"), "g").where(F.col(level) == F.col(f"at_{level}")).drop(f"at_{level}")
+        if level == "c2":
+            edge = staged(edge, "mix-edge")
+        want = want.select("g", "want")
+    spot = F.struct("tie", "row")
+    # gap: words still asked for. Rows taken or left against the cut at `stop` are `changed`, the last one taken in rank order is `upto`.
+    state = edge.select("g", spot.alias("stop")).join(want, "g").join(asked.select("g", F.col("want").alias("all")), "g")
+    state = staged(state.select("g", "all", "stop", F.col("want").alias("gap"), F.col("stop").alias("upto"), F.array().cast("array<bigint>").alias("changed")), "mix-cut")
+    for turn in range(fills + CHANGES):
+        if turn < fills:  # a whole word less than the words asked for is as near as it gets
+            later = join_small(live, state.where("gap >= 1"), "g").where((spot > F.col("upto")) & (F.col("size") <= F.col("gap")))
+            best = later.groupBy("g").agg(F.min(F.struct("tie", "row", "size")).alias("best"))
+            after = F.col("gap") - F.col("best.size")
+        else:
+            open_rows = join_small(live, state.where(F.abs("gap") > NEAR * F.col("all")), "g").where(~F.array_contains("changed", F.col("row"))).withColumn("now", spot < F.col("stop"))
+            if turn < fills + CHANGES // 2:
+                left = F.col("gap") + F.when(F.col("now"), F.col("size")).otherwise(-F.col("size"))
+                tries = open_rows.select("g", "gap", left.alias("left"), F.array("row").alias("rows"))
+            else:
+                # The size that would make up for a taken document, among the sizes of those not taken: the next ones below and above.
+                fit = open_rows.withColumn("fit", F.col("size") + F.when(F.col("now"), F.col("gap")).otherwise(0))
+                order = Window.partitionBy("g").orderBy("fit", "now", "row")
+                other = F.when(~F.col("now"), F.struct("size", "row"))
+                near = F.array(F.last(other, True).over(order), F.first(other, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+                tries = fit.withColumn("near", near).where("now").select("g", "gap", "fit", "row", F.explode("near").alias("other")).where("other is not null").select("g", "gap", (F.col("fit") - F.col("other.size")).alias("left"), F.array("row", "other.row").alias("rows"))
+            best = tries.where(F.abs("left") < F.abs("gap")).groupBy("g").agg(F.min(F.struct(F.abs("left").alias("miss"), "rows", "left")).alias("best"))
+            after = F.col("best.left")
+        hit = F.col("best").isNotNull()
+        state = state.join(best, "g", "left").select(
+            "g", "all", "stop", F.when(hit, after).otherwise(F.col("gap")).alias("gap"),
+            F.when(hit, F.struct("best.tie", "best.row")).otherwise(F.col("upto")).alias("upto") if turn < fills else F.col("upto"),
+            F.when(hit, F.concat("changed", F.array("best.row") if turn < fills else F.col("best.rows"))).otherwise(F.col("changed")).alias("changed"),
+        )
+        state = staged(state, "mix-cut")
     changed = F.coalesce(F.array_contains("changed", F.col("row")), F.lit(False))
-    return join_small(before(rows), state.select("g", "changed"), "g", "left").withColumn("taken", F.col("taken") != changed).drop("changed")
+    taken = F.col("q").isNotNull() & (F.col("size") > 0) & ((F.col("stop").isNull() | (spot < F.col("stop"))) != changed)
+    return join_small(rows, state.select("g", "stop", "changed"), "g", "left").withColumn("taken", taken).drop("stop", "changed", "tie", "part", "c1", "c2")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, seed: int = 1) -> DataFrame:
-    """One row per document: id_col, source, size, source_size, target, copies, taken (= copies * size).
+    """One row per document: id_col, source, size, source_size, target, p, copies, taken (= copies * size).
 
     Size is the number of words; null text has none. A null source is a source of its own. Documents
-    without words are never copied. Repeated rows are sampled each for itself.
+    without words are never copied. Rows that repeat an id, or have none, are told apart by their texts; rows
+    alike in both are ranked together and as many taken as fit. Other columns are ignored; no rows give no rows.
     """
-    sized = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sized")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sized = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("mark"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")), "mix-sized")
     plan = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumn("g", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))), "mix-targets")
     rows = join_small(sized, plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     share = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    certain = F.least(F.floor(share + 1e-12), F.lit(int(cap))).cast("long")
-    rows = rows.withColumn("certain", certain).withColumn("p", F.greatest(F.lit(0.0), F.when(share - certain < 1e-12, 0.0).otherwise(share - certain))).withColumn("u", uniform("id", seed))
+    certain = F.least(F.floor(share + 1e-9), F.lit(int(cap))).cast("long")
+    rows = rows.withColumn("certain", certain).withColumn("part_wanted", F.greatest(F.lit(0.0), F.when(share - certain < 1e-9, 0.0).otherwise(share - certain)))
+    rows = inclusion(rows).withColumn("u", uniform(seed))
     copies = F.when(F.col("size") > 0, F.col("certain") + F.col("taken").cast("long")).otherwise(F.lit(0)).cast("long")
     out = pareto_sample(rows).withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", "p", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op4_pareto_mix(spark, sf_dir: str) -> DataFrame:

@@ -114,6 +114,31 @@ def test_mix_edge_cases(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+def test_mix_takes_longer_documents_more_often(spark):
+    """Twenty sources alike, a third of each to be sampled beside a certain copy: how often a size is taken follows its inclusion probability."""
+    sizes = [4, 9, 16, 25, 36, 64, 100, 144] * 50
+    rows = [(1000 * s + k, "w " * n, None, f"s{s:03d}") for s in range(40) for k, n in enumerate(sizes)]
+    got = mixing.mix(table(spark, rows), weights=(2.0, 1.0)).where("target > source_size").collect()
+    by_size: dict = defaultdict(list)
+    for r in got:
+        assert r.copies in (1, 2)
+        by_size[r["size"]].append((r.copies - 1, r.p))
+    c = (1 / 3) * sum(sizes) / sum(n**1.5 for n in sizes)  # none of the sizes is certain
+    for n, own in by_size.items():
+        assert abs(own[0][1] - c * n**0.5) < 1e-6 and abs(np.mean([t for t, _ in own]) - c * n**0.5) < 0.06, n
+    assert np.mean([t for t, _ in by_size[144]]) > 2.5 * np.mean([t for t, _ in by_size[4]])
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    rows = [(None, "w " * (5 + i % 3), None, "a") for i in range(2000)] + [(7, "x y z", None, "b")] * 900 + [(i, f"one two {i}", None, "c") for i in range(3000)]
+    got = mixing.mix(table(spark, rows)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 6 for s in "abc")
+
+
 # ---- packing
 
 
