@@ -50,6 +50,28 @@ def test_exact_dedup_tells_texts_with_one_digest_apart(spark, monkeypatch):
     assert got == [(1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False), (4, 4, 1, True)]
 
 
+def entries_of(spark, rows):
+    frame = spark.createDataFrame(rows, "text string, id long").select(F.sha2("text", 256).alias("digest"), "id", F.monotonically_increasing_id().alias("arrival"), F.lit(1).cast("long").alias("n"))
+    return frame
+
+
+def test_batches_meet_in_the_index_only_where_filters_say_so(spark):
+    rng = random.Random(4)
+    batches = [[(f"text {rng.randrange(200)}", 1000 * b + i) for i in range(60)] for b in range(6)]
+    index = exact_dedup.Index("min")
+    for n, batch in enumerate(batches, 1):
+        index.add(entries_of(spark, batch))
+        assert [level for level, _, _ in index.runs] == ([0] * n if n < exact_dedup.FAN else [1] + [0] * (n - exact_dedup.FAN))
+    every = [x for batch in batches for x in batch]
+    want = {hashlib.sha256(t.encode()).hexdigest(): (min(i for u, i in every if u == t), sum(u == t for u, _ in every)) for t, _ in every}
+    shared = {t for t, _ in batches[4]} & {t for t, _ in batches[5]}
+    crossing = index.runs[1][1].where(index.crossing(0, index.runs[1:])).count()
+    assert len(shared) <= crossing < len(shared) + 5 < index.runs[1][1].count()
+    asked = spark.createDataFrame([(d,) for d in list(want)[:20]] + [("no such",)], "digest string")
+    assert {r.digest: (r.id, r.n) for r in index.find(asked).collect()} == {d: want[d] for d in list(want)[:20]}
+    assert {r.digest: (r.id, r.n) for r in index.entries().collect()} == want and len(index.runs) == 1
+
+
 # ---- near
 
 
