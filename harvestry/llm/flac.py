@@ -2,8 +2,8 @@
 
 All frames of a slice of rows are coded at once: a frame is a lane, and step t handles sample t of every
 lane. The writer tries constant, fixed and fourth-order linear prediction with Rice coded
-residuals, and falls back to plain samples; each frame gets a seek point with its first sample and
-its byte offset. The reader starts a lane at every seek point (or at the first frame, if a stream
+residuals, and falls back to plain samples; frames get seek points with their first sample and
+their byte offset (each one, in streams of up to POINTS frames). The reader starts a lane at every seek point (or at the first frame, if a stream
 has no seek table), follows the frames of a lane to the next point, checks the CRC of each header
 and each frame and the MD5 of the stream, and gives PCM blocks with their sample offsets.
 """
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .batches import slices, values
-from .common import documents
+from .common import documents, staged
 
 BLOCK = 256
 RATE = 8000
 ORDER, PRECISION = 4, 10
+#: Seek points of a stream at most: a metadata block's length has three bytes.
+POINTS = (1 << 24) // 18 - 1
 #: Coefficients of the fixed predictors, by order; fixed values of the format.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
@@ -123,10 +125,10 @@ def put(words: np.ndarray, at: np.ndarray, value: np.ndarray, width) -> None:
 
 
 def frame_number(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers in the format's UTF-8 form: bytes (frames x 4) and lengths; for numbers below 2**21."""
-    length = 1 + (n >= 0x80) + (n >= 0x800) + (n >= 0x10000)
-    out = np.zeros((len(n), 4), np.uint8)
-    for size, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+    """Frame numbers in the format's UTF-8 form: bytes (frames x 6) and lengths; for numbers below 2**31."""
+    length = 1 + (n >= 0x80) + (n >= 0x800) + (n >= 0x10000) + (n >= 0x200000) + (n >= 0x4000000)
+    out = np.zeros((len(n), 6), np.uint8)
+    for size, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0), (5, 0xF8), (6, 0xFC)):
         own = length == size
         for j in range(size):
             part = n[own] >> (6 * (size - 1 - j))
@@ -187,7 +189,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     buf = np.frombuffer(bytearray(out_bits.astype(">u4").tobytes()), np.uint8)
     for j, v in enumerate((0xFF, 0xF8, np.where(short, 0x60, 0x80), 0x02)):
         buf[start + j] = v
-    for j in range(4):
+    for j in range(6):
         own = num_len > j
         buf[(start + 4 + j)[own]] = num[own, j]
     buf[(start + 4 + num_len)[short]] = length[short] - 1
@@ -203,7 +205,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         info = struct.pack(">HH", BLOCK, BLOCK) + int(part.min()).to_bytes(3, "big") + int(part.max()).to_bytes(3, "big") + ((RATE << 44) | (0 << 41) | (7 << 36) | n).to_bytes(8, "big") + hashlib.md5(signed[at : at + n]).digest()
         points = np.zeros(b - a, [("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")])
         points["sample"], points["offset"], points["size"] = number[a:b] * BLOCK, start[a:b] - start[a], length[a:b]
-        table = points.tobytes()
+        table = points[:: -(-len(points) // POINTS)].tobytes()
         streams.append(b"fLaC" + b"\0" + (34).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + raw[start[a] : start[b - 1] + total[b - 1]])
         at += n
     return streams
@@ -267,20 +269,94 @@ def headers(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return size, length
 
 
+def unary(bits: Bits, at: np.ndarray) -> np.ndarray:
+    """Zeros before the next one bit, in each lane."""
+    q = CLZ[bits.take(at, 16)]
+    far = np.flatnonzero(q == 16)
+    more = 16
+    while len(far):
+        z = CLZ[bits.take(at[far] + more, 16)]
+        q[far] = more + z
+        far, more = far[z == 16], more + 16
+    return q
+
+
+class Residuals:
+    """The residuals of many lanes, in step: partitions of Rice codes of either width, or of plain numbers (escapes)."""
+
+    def __init__(self, bits: Bits, at: np.ndarray, size: int, order: np.ndarray):
+        method = bits.take(at, 2)
+        if (method > 1).any():
+            raise ValueError("a reserved way to code residuals")
+        self.bits, self.at, self.width = bits, at + 6, 4 + method
+        self.part = size >> bits.take(at + 2, 4)  # samples of a partition, those before the first residual included
+        if (self.part < order).any() or (self.part == 0).any():
+            raise ValueError("a partition is shorter than the predictor")
+        self.k, self.raw = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64) - 1
+        self.next = np.zeros(len(at), np.int64)
+        self.start(0, np.ones(len(at), bool))
+
+    def start(self, t: int, which: np.ndarray) -> None:
+        """Read the parameters of the partitions that begin at sample t."""
+        for width in (4, 5):
+            own = np.flatnonzero(which & (self.width == width))
+            if not len(own):
+                continue
+            k = self.bits.take(self.at[own], width)
+            self.at[own] += width
+            plain = k == (1 << width) - 1
+            self.k[own], self.raw[own] = np.where(plain, 0, k), -1
+            if plain.any():
+                self.raw[own[plain]] = self.bits.take(self.at[own[plain]], 5)
+                self.at[own[plain]] += 5
+        self.next[which] = t + self.part[which]
+
+    def take(self, t: int, go: np.ndarray | None) -> np.ndarray:
+        """The residual of sample t; lanes not to `go` have none yet."""
+        begin = self.next == t
+        if begin.any():
+            self.start(t, begin)
+        k = self.k
+        q = unary(self.bits, self.at)
+        low = ((self.bits.peek(self.at + q + 1) >> np.uint64(1)) >> (63 - k).astype(np.uint64)).astype(np.int64)
+        u = (q << k) | low
+        res, used = (u >> 1) ^ -(u & 1), q + 1 + k
+        for width in np.unique(self.raw[self.raw >= 0]).tolist():
+            own = np.flatnonzero(self.raw == width)
+            res[own] = self.bits.signed(self.at[own], width) if width else 0
+            used[own] = width
+        self.at = self.at + (used if go is None else np.where(go, used, 0))
+        return res
+
+
 def samples(bits: Bits, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Decode one subframe of `size` samples in each lane: samples (size x lanes) and the bit after it."""
-    lanes = len(at)
-    kind = bits.take(at, 8)
-    if (kind & 0x81).any():
-        raise ValueError("wasted bits are not read")
-    kind, at = kind >> 1, at + 8
-    out = np.zeros((size, lanes), np.int64)
+    head = bits.take(at, 8)
+    if (head & 0x80).any():
+        raise ValueError("a subframe begins with a zero bit")
+    kind, at = (head >> 1) & 63, at + 8
+    wasted = np.where(head & 1, 1 + unary(bits, at), 0)
+    at = at + wasted
+    depth = 8 - wasted
+    if (depth < 1).any():
+        raise ValueError("more wasted bits than a sample has")
+    out, end = np.zeros((size, len(at)), np.int64), at.copy()
+    for d in np.unique(depth).tolist():
+        lanes = np.flatnonzero(depth == d)
+        pcm, end[lanes] = subframe(bits, at[lanes], size, kind[lanes], d)
+        out[:, lanes] = pcm << (8 - d)
+    return out, end
+
+
+def subframe(bits: Bits, at: np.ndarray, size: int, kind: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of `depth` bits behind the subframes' headers, and the bit after them."""
+    out = np.zeros((size, len(at)), np.int64)
     flat, plain = kind == 0, kind == 1
     if flat.any():
-        out[:, flat] = bits.signed(at[flat], 8)
+        out[:, flat] = bits.signed(at[flat], depth)
     if plain.any():
-        out[:, plain] = bits.signed((at[plain] + 8 * np.arange(size)[:, None]).ravel(), 8).reshape(size, -1)
-    end = at + np.where(flat, 8, np.where(plain, 8 * size, 0))
+        out[:, plain] = bits.signed((at[plain] + depth * np.arange(size)[:, None]).ravel(), depth).reshape(size, -1)
+    end = at + np.where(flat, depth, np.where(plain, depth * size, 0))
     own = np.flatnonzero(kind > 1)
     if not len(own):
         return out, end
@@ -293,8 +369,8 @@ def samples(bits: Bits, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     s = np.zeros((size + most, len(own)), np.int64)  # rows before `most` stand before the first sample
     for j in range(most):
         has = order > j
-        s[most + j, has] = bits.signed(at[has], 8)
-        at = at + 8 * has
+        s[most + j, has] = bits.signed(at[has], depth)
+        at = at + depth * has
     coef, shift = np.zeros((most, len(own)), np.int64), np.zeros(len(own), np.int64)
     for o in range(1, 5):
         if (fixed := ~linear & (order == o)).any():
@@ -309,46 +385,17 @@ def samples(bits: Bits, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
                 has = sel & (order > j)
                 coef[j, has] = bits.signed(at[has], int(w))
                 at = at + int(w) * has
-    if bits.take(at, 6).any():
-        raise ValueError("only one partition of four-bit Rice parameters is read")
-    k = bits.take(at + 6, 4)
-    if (k == 15).any():
-        raise ValueError("escaped residuals are not read")
-    at = at + 10
-    drop = (63 - k).astype(np.uint64)
+    residuals = Residuals(bits, at, size, order)
     for t in range(size):
-        x = bits.peek(at)
-        q = CLZ[(x >> np.uint64(48)).astype(np.int64)]
-        if (long := q == 16).any():
-            far = np.flatnonzero(long)
-            more = np.zeros(len(far), np.int64)
-            live = np.ones(len(far), bool)
-            while live.any():
-                more[live] += 16
-                z = CLZ[bits.take(at[far[live]] + more[live], 16)]
-                on = np.flatnonzero(live)
-                q[far[on]] = more[on] + z
-                live[on[z < 16]] = False
-            x[far] = bits.peek(at[far] + q[far])
-            x = np.where(long, x << np.uint64(1), x << (np.minimum(q, 62) + 1).astype(np.uint64))
-        else:
-            x = x << (q + 1).astype(np.uint64)
-        low = ((x >> np.uint64(1)) >> drop).astype(np.int64)
-        u = (q << k) | low
-        res = (u >> 1) ^ -(u & 1)
+        go = order <= t if t < most else None
+        res = residuals.take(t, go)
         pred = np.zeros(len(own), np.int64)
         for j in range(most):
             pred += coef[j] * s[most + t - 1 - j]
         pred >>= shift
-        if t < most:
-            go = order <= t
-            s[most + t] = np.where(go, res + pred, s[most + t])
-            at = at + np.where(go, q + 1 + k, 0)
-        else:
-            s[most + t] = res + pred
-            at = at + q + 1 + k
+        s[most + t] = res + pred if go is None else np.where(go, res + pred, s[most + t])
     out[:, own] = s[most:]
-    end[own] = at
+    end[own] = residuals.at
     return out, end
 
 
@@ -396,7 +443,11 @@ def padded(text: bytes) -> bytes:
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes, media (a FLAC stream of the text's bytes, padded with zeros to a positive multiple of 64). Null text counts as empty."""
+    """id_col, n_bytes, media (a FLAC stream of the text's bytes, padded with zeros to a positive multiple of 64).
+
+    Null text counts as empty; rows that repeat give equal streams; other columns are ignored, whatever their
+    names; no rows give no rows. Texts are coded in slices, a long one in a slice of its own, up to the 2 GB of a binary value.
+    """
 
     def run(batches):
         for rows, data, at in slices(batches, text_col):
@@ -448,5 +499,5 @@ def read_back(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op5_flac_media(spark, sf_dir: str) -> DataFrame:
-    """All documents, stored as FLAC streams and read back."""
-    return read_back(to_media(documents(spark, sf_dir)))
+    """All documents, stored as FLAC streams in a table, and read back from it."""
+    return read_back(staged(to_media(documents(spark, sf_dir)), "flac-media"))

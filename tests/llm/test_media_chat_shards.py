@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,56 @@ def test_flac_reads_streams_without_seek_table():
     assert b"".join(b for _, b in flac.decode([bare])[0]) == payloads()[5]
 
 
+def foreign(payload: bytes, wasted: int, width: int, parts: int, escape: int | None) -> bytes:
+    """A stream of one frame as other writers make them: second-order fixed prediction, several partitions, wasted bits, escaped ones."""
+    x = [b - 128 >> wasted for b in payload]
+    bits = "0" + format(10, "06b") + ("1" + "0" * (wasted - 1) + "1" if wasted else "0")
+    bits += "".join(format(v & (1 << 8 - wasted) - 1, f"0{8 - wasted}b") for v in x[:2]) + format(width - 4, "02b") + format(parts.bit_length() - 1, "04b")
+    each = len(x) // parts
+    for p in range(parts):
+        res = [x[i] - 2 * x[i - 1] + x[i - 2] for i in range(max(2, p * each), (p + 1) * each)]
+        if p == escape:
+            bits += "1" * width + format(11, "05b") + "".join(format(r & 2047, "011b") for r in res)
+            continue
+        k = 1 + p
+        bits += format(k, f"0{width}b")
+        for r in res:
+            u = 2 * r if r >= 0 else -2 * r - 1
+            bits += "0" * (u >> k) + "1" + format(u & (1 << k) - 1, f"0{k}b")
+    bits += "0" * (-len(bits) % 8)
+    head = bytes([0xFF, 0xF8, 0x70, 0x02, 0]) + (len(x) - 1).to_bytes(2, "big")
+
+    def crc(data: bytes, table, n: int) -> int:
+        c = 0
+        for b in data:
+            c = int(table[c >> n - 8 ^ b]) ^ (c << 8) & (1 << n) - 1
+        return c
+
+    frame = head + bytes([crc(head, flac.CRC8, 8)]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    frame += crc(frame, flac.CRC16, 16).to_bytes(2, "big")
+    signed = bytes((v << wasted) & 255 for v in x)
+    info = struct.pack(">HH", len(x), len(x)) + bytes(6) + ((8000 << 44) | (7 << 36) | len(x)).to_bytes(8, "big") + hashlib.md5(signed).digest()
+    return b"fLaC\x80" + (34).to_bytes(3, "big") + info + frame
+
+
+@pytest.mark.parametrize("wasted,width,parts,escape", [(0, 4, 1, None), (0, 4, 4, None), (0, 5, 2, None), (0, 4, 4, 2), (2, 4, 1, None), (3, 5, 4, 0)])
+def test_flac_reads_what_other_writers_use(wasted, width, parts, escape):
+    rng = random.Random(wasted + parts)
+    payload = bytes((128 + int(60 * math.sin(i / 9)) + rng.randrange(5)) >> wasted << wasted for i in range(400))
+    assert flac.decode([foreign(payload, wasted, width, parts, escape), flac.encode([payload])[0]])[0] == [(0, payload)]
+
+
+def test_flac_frame_numbers_and_sparse_seek_points(monkeypatch):
+    numbers = np.array([0, 127, 128, 2047, 2048, 65535, 65536, (1 << 21) - 1])
+    out, length = flac.frame_number(numbers)
+    assert [bytes(o[:n]).decode("utf-8", "surrogatepass") if n < 4 or v < 0x110000 else None for o, n, v in zip(out, length, numbers)][:7] == [chr(v) for v in numbers[:7].tolist()]
+    assert flac.frame_number(np.array([1 << 21, (1 << 31) - 1]))[1].tolist() == [5, 6]
+    monkeypatch.setattr(flac, "POINTS", 3)
+    payload = payloads()[5]
+    stream = flac.encode([payload])[0]
+    assert len(flac.layout(stream)[1]) <= 3 and b"".join(b for _, b in flac.decode([stream])[0]) == payload
+
+
 @pytest.mark.parametrize("at", [-1, -40, 60])
 def test_flac_checksums_tell_damage(at):
     stream = bytearray(flac.encode([payloads()[5]])[0])
@@ -53,11 +105,13 @@ def test_flac_checksums_tell_damage(at):
 
 def test_flac_media_over_all_documents(spark, sf):
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = queries()["op5_flac_media"](spark, sf).collect()
+    got, made = queries()["op5_flac_media"](spark, sf).collect(), {}
     assert len(got) == len(texts)
     for r in got:
         p = flac.padded(texts[r.doc_id])
         assert len(p) % 64 == 0 and p
+        stream = made.setdefault(p, flac.encode([p])[0])  # equal texts, equal streams
+        assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(texts[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), flac.feature(p))
 
 
