@@ -2,16 +2,18 @@
 
 Documents are tokenised and cut into pieces; what goes to the driver is only the histogram of piece
 lengths, whose size is bounded by the sequence length. There multiplicative weights on the lengths
-price configurations (full sequences), a knapsack dynamic program finds the best one in each round,
-and each gets a share of the lengths it uses. The fractional solution is rounded down, first where
-sequences are full; of what is left the program is solved again and rounded down whether full or not,
-if that saves sequences. The rest is placed by best fit, decreasing, in groups of like sequences. The
-result is a table of bounded size: which ranks of a length go to which configuration. Pieces get their rank within
-their length on the executors and look their place up.
+price configurations (sequences), a knapsack dynamic program finds the best one of each block of lengths,
+and each gets a share of the lengths it uses, scaled to a feasible solution; the same prices give a
+lower bound of what any packing needs. The solution is rounded down, full sequences first, and what that
+leaves is solved again; the rest goes by best fit, decreasing, in groups of like sequences, beginning with
+what rounding down leaves open where that saves sequences. The result is a table of bounded size: which
+ranks of a length go to which configuration. Pieces get their rank within their length on the
+executors and look their place up.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import unicodedata
 import zlib
@@ -27,8 +29,10 @@ from .common import documents, join_small, staged
 
 CAPACITY = 4096
 END = 1
-#: Pricing rounds of the linear program, lengths priced in each (every so many-th, by turns), and the share of a length's demand that a round may use.
-ROUNDS, PRICED, SHARE = 1000, 96, 0.5
+#: Configurations priced in the linear program, lengths that each may use, the share of a length's demand that one may cover, and how fast coverage lowers prices.
+ROUNDS, PRICED, SHARE, GAIN = 400, 96, 0.25, 1.0
+#: Times that what rounding down leaves is solved again, with a quarter of the rounds.
+AGAIN = 4
 #: Pieces of one length ranked together.
 RANKED = 256
 #: Parts of texts, and words of letters, kept in a worker's tables; a table is emptied beyond that.
@@ -157,38 +161,56 @@ def best_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) ->
     return found
 
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """The fractional solution by multiplicative weights: configurations and how many sequences of each."""
-    lengths = np.array(sorted(histogram))
-    demand = np.array([histogram[x] for x in lengths], float)
-    place = {int(x): i for i, x in enumerate(lengths)}
-    weight, found = np.ones(len(lengths)), []
-    stride = -(-len(lengths) // PRICED)
-    for n in range(rounds if len(lengths) else 0):
-        some = np.arange(n % stride, len(lengths), stride)
-        config = best_configuration(lengths[some], (weight * lengths)[some], capacity)
-        if not config:
-            break
-        step = SHARE * min(demand[place[x]] / a for x, a in config.items())
-        found.append((config, step))
-        for x, a in config.items():
-            weight[place[x]] *= np.exp(-a * step / demand[place[x]])
-    return found
+def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float, float]:
+    """The linear program by multiplicative weights: configurations and how many sequences of each, what to multiply these with to use no length too often, and a lower bound of their sum.
+
+    Each round deals the lengths into blocks of about PRICED and prices each block's best configuration; its share
+    lowers the prices of the lengths that it covers. The shares are scaled so that they cover most lengths, and what
+    is then uncovered gets sequences of one length: a feasible solution. The prices, scaled so that no
+    configuration of all lengths is worth more than one, are feasible in the dual: with them demand bounds any solution.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    demand = np.array([histogram[x] for x in lengths.tolist()], float)
+    bound = float((lengths * demand).sum()) / capacity
+    if not rounds or not len(lengths):
+        return [], 1.0, bound
+    place = {x: i for i, x in enumerate(lengths.tolist())}
+    cover, share = np.zeros(len(lengths)), {}
+    blocks, rng = -(-len(lengths) // PRICED), np.random.default_rng(1)
+    turns = -(-rounds // blocks)
+    for turn in range(turns):
+        order = rng.permutation(len(lengths))
+        for block in range(blocks):
+            some = np.sort(order[block::blocks])
+            price = lengths[some] * np.exp(-GAIN * cover[some])
+            config = best_configuration(lengths[some], price, capacity)
+            step = SHARE * min(demand[place[x]] / a for x, a in config.items())
+            key = tuple(sorted(config.items()))
+            share[key] = share.get(key, 0) + step
+            for x, a in config.items():
+                cover[place[x]] += a * step / demand[place[x]]
+        if blocks == 1 and turn % 50 == 49 or turn == turns - 1:
+            y = lengths * np.exp(-GAIN * (cover - cover.min()))
+            most = sum(y[place[x]] * a for x, a in best_configuration(lengths, y, capacity).items())
+            bound = max(bound, float((y * demand).sum() / most))
+    whole = sum(share.values())
+    each = demand / (capacity // lengths)
+    scales = [1 / c for c in np.quantile(cover[cover > 0], np.linspace(0, 0.9, 10))]
+    scale = min(scales, key=lambda z: z * whole + float((np.maximum(0, 1 - z * cover) * each).sum()))
+    found = [(dict(key), x * scale) for key, x in share.items()]
+    found += [({int(x): int(capacity // x)}, n) for x, n in zip(lengths, np.maximum(0, 1 - scale * cover) * each, strict=True) if n > 0]
+    return found, min(1.0, 1 / (scale * cover.max())), bound
 
 
 def rounded(histogram: dict[int, int], found: list[tuple[dict[int, int], float]]) -> list[tuple[int, dict[int, int]]]:
-    """Configurations and whole numbers of sequences, those of most first: their shares of all rounds, scaled to the demand and rounded down."""
+    """Configurations and whole numbers of sequences, those of most first: rounded down and as far as pieces are left."""
     share: dict[tuple, float] = {}
-    use: dict[int, float] = {}
     for config, x in found:
         key = tuple(sorted(config.items()))
         share[key] = share.get(key, 0) + x
-        for length, a in key:
-            use[length] = use.get(length, 0) + a * x
-    over = max((n / histogram[length] for length, n in use.items()), default=1)
     left, out = dict(histogram), []
     for key, x in sorted(share.items(), key=lambda s: (-s[1], s[0])):
-        n = min(int(x / over + 1e-9), *(left[length] // a for length, a in key))
+        n = min(int(x + 1e-9), *(left.get(length, 0) // a for length, a in key))
         if n > 0:
             out.append((n, dict(key)))
             for length, a in key:
@@ -196,28 +218,45 @@ def rounded(histogram: dict[int, int], found: list[tuple[dict[int, int], float]]
     return out
 
 
-def packed(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
-    """Groups of like sequences, (count, {length: times}), that hold every piece of the histogram once."""
+def solved(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, dict[int, int]]], int]:
+    """Groups of like sequences, (count, {length: times}), that hold every piece of the histogram once, and a lower bound of their number."""
     left = {x: n for x, n in histogram.items() if n}
     closed: list[tuple[int, dict[int, int]]] = []
     if full := left.pop(capacity, 0):
         closed.append((full, {capacity: 1}))
-    # Rounded down: the linear program's full sequences, in the order found, as far as pieces are left.
-    for config, x in configurations(left, capacity, rounds):
-        if sum(k * a for k, a in config.items()) < capacity:
-            continue
-        n = min(int(x), *(left[length] // a for length, a in config.items()))
-        if n > 0:
-            for length, a in config.items():
-                left[length] -= n * a
-            closed.append((n, config))
-    left = {x: n for x, n in left.items() if n}
-    rest = best_fit(left, [], capacity)
-    # Nothing beats as many sequences as the tokens fill.
-    if sum(n for n, _ in rest) * capacity >= sum(x * n for x, n in left.items()) + capacity:
-        other = best_fit(left, rounded(left, configurations(left, capacity, rounds)), capacity)
-        rest = min(rest, other, key=lambda groups: sum(n for n, _ in groups))
-    return closed + rest
+    found, down, bound = fractional(left, capacity, rounds)
+    least = full + math.ceil(bound - 1e-6)
+    # Full sequences are rounded down first, and what is left is solved again.
+    rest, groups, config = left, list(closed), found
+    for _ in range(AGAIN):
+        some = rounded(rest, [(c, x * down) for c, x in config if sum(k * a for k, a in c.items()) == capacity])
+        if not some:
+            break
+        groups += some
+        rest = dict(rest)
+        for n, c in some:
+            for k, a in c.items():
+                rest[k] -= n * a
+        rest = {k: n for k, n in rest.items() if n}
+        config, down, _ = fractional(rest, capacity, rounds // 4)
+    # What is still left goes by best fit: alone, with the program's other sequences rounded down and left open, or all from the start.
+    tries = [
+        lambda: groups + best_fit(rest, [], capacity),
+        lambda: groups + best_fit(rest, rounded(rest, config), capacity),
+        lambda: closed + best_fit(left, rounded(left, found), capacity),
+        lambda: closed + best_fit(left, [], capacity),
+    ]
+    best: list | None = None
+    for made in (t() for t in tries):
+        if best is None or sum(n for n, _ in made) < sum(n for n, _ in best):
+            best = made
+        if sum(n for n, _ in best) <= least:  # no packing needs fewer
+            break
+    return best, least
+
+
+def packed(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
+    return solved(histogram, capacity, rounds)[0]
 
 
 def best_fit(histogram: dict[int, int], begun: list[tuple[int, dict[int, int]]], capacity: int) -> list[tuple[int, dict[int, int]]]:

@@ -186,6 +186,8 @@ def test_packing_edge_cases(spark):
     twice = packing.pack_documents(frame.unionByName(frame), packing.default_tokenizer()).collect()
     assert len({(r.sequence_id, r.offset) for r in twice}) == len(twice)
     assert packing.pack_documents(frame.limit(0), packing.default_tokenizer()).count() == 0
+    broken = spark.sql("select 1L as doc_id, cast(unhex('6162FF2063') as string) as text union all select 2L, 'ab� c'")
+    assert len({(r.length, r.ids_crc32) for r in packing.pack_documents(broken, packing.default_tokenizer()).collect()}) == 1
 
 
 def test_packed_groups_without_full_sequences():
@@ -197,6 +199,25 @@ def test_packed_groups_without_full_sequences():
     assert packing.best_configuration(np.array([300]), np.array([300.0]), 4096) == {300: 13}
 
 
+@pytest.mark.parametrize("kinds,most", [(20, 1.01), (60, 1.02)])
+def test_packing_comes_near_its_bound_where_best_fit_does_not(kinds, most):
+    """Triplets that fill a sequence: as many sequences as triplets are enough, and the bound says so."""
+    rng, histogram = np.random.default_rng(kinds), Counter()
+    for _ in range(kinds):
+        a, b = (int(x) for x in rng.integers(1030, 1700, 2))
+        histogram.update({x: 100 for x in (a, b, 4096 - a - b)} if len({a, b, 4096 - a - b}) == 3 else {})
+    need = sum(k * n for k, n in histogram.items()) // 4096
+    groups, bound = packing.solved(dict(histogram))
+    assert bound == need <= sum(n for n, _ in groups) <= most * need
+    alone, _ = packing.solved(dict(histogram), rounds=0)
+    assert sum(n for n, _ in alone) > 1.05 * need
+    found, down, bound = packing.fractional({1500: 100, 1250: 100}, 4096)
+    cover = Counter()
+    for config, x in found:
+        cover.update({k: a * x for k, a in config.items()})
+    assert min(cover.values()) >= 100 - 1e-6 and max(cover.values()) * down <= 100 + 1e-6 and 0.98 * sum(x for _, x in found) <= bound <= 75.01
+
+
 @pytest.mark.parametrize("capacity", [10, 37])
 def test_packed_groups_hold_every_piece_once(capacity):
     rng = np.random.default_rng(4)
