@@ -147,6 +147,7 @@ def test_nested_quotes_are_linked_and_taken_out(spark):
     got = {(r.conv_id, r.turn): r for r in chat.threaded(frame).collect()}
     assert len(got) == len(rows)
     assert [(got[1, t].reply_to, got[1, t].thread_root, got[1, t].depth, got[1, t].position) for t in (1, 2, 3, 4, 5)] == [(None, 1, 0, 0), (1, 1, 1, 1), (2, 1, 2, 2), (None, 4, 0, 0), (1, 1, 1, 3)]
+    assert [(x.level, x.said_at) for x in got[1, 3].links] == [(1, 2), (2, 1)]
     assert (got[1, 3].body, got[1, 3].n_quotes, got[1, 3].n_linked) == ("Thanks.", 2, 2)
     assert (got[2, 1].reply_to, got[2, 2].body, got[None, 1].body, got[4, 1].body) == (None, "", "body", "")
     threads = {(r.conv_id, r.thread_root): [m.body for m in r.messages] for r in chat.assembled(chat.threaded(frame)).collect()}
@@ -154,6 +155,32 @@ def test_nested_quotes_are_linked_and_taken_out(spark):
     assert chat.threaded(frame.limit(0)).count() == 0
 
 
+def test_replies_follow_the_message_they_answer(spark):
+    """Random trees: reply order is the order of a walk that takes a message's replies by turn, each with all below it."""
+    rng, rows, want = random.Random(6), [], {}
+    for conv in range(6):
+        parent = {i: rng.choice([None, *range(i)]) if i and rng.random() < 0.9 else None for i in range(30)}
+        rows += [(conv, i, "r", f"said {i} in {conv}" + (f"\n> said {p} in {conv}" if p is not None else "")) for i, p in parent.items()]
+
+        def walk(i, root, place, conv=conv, parent=parent):
+            want[conv, i] = (root, place)
+            for k in (k for k in parent if parent[k] == i):
+                place = walk(k, root, place + 1)
+            return place
+
+        for i in parent:
+            if parent[i] is None:
+                walk(i, i, 0)
+    got = {(r.conv_id, r.turn): (r.thread_root, r.position) for r in chat.threaded(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == want
+
+
+def test_trimmed_quotes_are_linked_by_their_lines(spark):
+    rows = [(1, 0, "a", "A first line of some length\nand a second line of some length"), (1, 1, "b", "something else that is long enough"), (1, 2, "c", "> and a second line of some length\n> [cut]\nMy answer")]
+    got = {r.turn: r.reply_to for r in chat.threaded(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 0}
+
+
 def test_a_chain_of_replies_is_followed_to_its_root(spark):
     rows = [(1, i, "r", f"line {i}" + (f"\n> line {i - 1}" if i else "")) for i in range(40)]
     got = {r.turn: r for r in chat.threaded(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
