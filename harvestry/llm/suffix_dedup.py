@@ -220,35 +220,27 @@ def covered_windows(strings: list[bytes], sizes: np.ndarray, docs: np.ndarray) -
 
 
 def answer(rows):
-    """A bucket's answers to its text groups: which windows of which segments go."""
-    place: dict[bytes, int] = {}
-    keys, sizes, least, asked = [], [], [], []
+    """A bucket's answers to its text groups: which windows of which segments go, as the merged transforms of all its strings tell."""
+    keys, sizes, docs, strings, asked = [], [], [], [], []
     for r in rows.select(["p", "keys", "docs", "sizes", "bytes", "whose"]).to_pylist():
-        size, doc, key, at, index = np.frombuffer(r["sizes"], "u1"), np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["keys"], "<u4"), 0, []
-        for n, d, k in zip(size.tolist(), doc.tolist(), key.tolist(), strict=True):
-            s = r["bytes"][at : at + n + LENGTH - 1]
-            at += n + LENGTH - 1
-            i = place.setdefault(s, len(place))
-            if i == len(keys):
-                keys.append(k)
-                sizes.append(n)
-                least.append(d)
-            elif d < least[i]:
-                least[i] = d
-            index.append(i)
+        size = np.frombuffer(r["sizes"], "u1").astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(size + LENGTH - 1)])
         whose = unpacked(WHOSE, [r["whose"]])
-        string = whose["string"].astype(np.int64)
-        asked.append((r["p"], np.array(index, np.int64)[string], doc[string], whose["text"], whose["start"]))
-    strings, sizes, least, keys = list(place), np.array(sizes, np.int64), np.array(least, np.int64), np.array(keys, np.int64)
+        asked.append((r["p"], len(strings) + whose["string"].astype(np.int64), whose["text"], whose["start"]))
+        strings += [r["bytes"][a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        keys.append(np.frombuffer(r["keys"], "<u4"))
+        sizes.append(size)
+        docs.append(np.frombuffer(r["docs"], "<i8"))
     mask = np.zeros(len(strings), np.int64)
-    if len(strings):
+    if strings:
+        keys, sizes, docs = np.concatenate(keys), np.concatenate(sizes), np.concatenate(docs)
         _, where, count = np.unique(keys, return_inverse=True, return_counts=True)
         some = np.flatnonzero(count[where] > 1)  # strings that share their anchor with another one
         if len(some):
-            mask[some] = covered_windows([strings[i] for i in some], sizes[some], least[some])
+            mask[some] = covered_windows([strings[i] for i in some], sizes[some], docs[some])
     out = []
-    for p, index, doc, text, start in asked:
-        m = np.where(doc > least[index], (1 << sizes[index]) - 1, mask[index]) if len(index) else np.zeros(0, np.int64)
+    for p, index, text, start in asked:
+        m = mask[index]
         if (hit := m > 0).any():
             out.append((p, packed(ANSWERS, {"text": text, "start": start, "mask": m}, hit)))
     out += [(p, x) for p, x in zip(rows.column("p").to_pylist(), rows.column("answers").to_pylist(), strict=True) if x]
