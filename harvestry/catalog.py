@@ -1,6 +1,6 @@
 """Every query of the library: importing the operator modules registers them."""
 
-from harvestry.operators import listings, records, runs  # noqa: F401
+from harvestry.operators import helpers, listings, records, runs  # noqa: F401
 from harvestry.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The named references that are decoded, in order; the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: The named references that are decoded, in order.
+ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"))
 
 
 def nz(c: Column) -> Column:
@@ -18,10 +18,37 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def decode_entities(c: Column) -> Column:
+def _reference(prefix: str, base: int):
+    """Replaces one numeric reference in a text by its character."""
+
+    def put(text: Column, number: Column) -> Column:
+        code = F.conv(number, base, 10).cast("decimal(20,0)")
+        sign = F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")
+        known = (F.length(number) <= 9) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.replace(text, F.concat(F.lit(prefix), number, F.lit(";")), F.when(known, sign).otherwise(""))
+
+    return put
+
+
+def decode_entities(c: Column, one_line: bool = True) -> Column:
+    """Named references whatever their case, then hexadecimal and decimal ones; a number that names no character gives nothing."""
     for name, sign in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(sign))
-    return collapse(c)
+        c = F.regexp_replace(c, F.lit(f"(?i){name}"), F.lit(sign))
+    for prefix, digits, base in (("&#x", "[0-9a-fA-F]+", 16), ("&#", "[0-9]+", 10)):
+        found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"{prefix}({digits});"), F.lit(1)))
+        c = F.aggregate(found, c, _reference(prefix, base))
+    return collapse(c) if one_line else F.trim(c)
+
+
+def entities_sql(column: str) -> str:
+    """The same for numbers of few digits, as texts of pages have them."""
+    quoted = lambda x: x.replace("'", "''")
+    for name, sign in ENTITIES:
+        column = f"regexp_replace({column}, '(?i){name}', '{quoted(sign)}', 'g')"
+    for prefix, digits, number in (("&#x", "[0-9a-fA-F]+", "('0x' || x)::int"), ("&#", "[0-9]+", "x::int")):
+        v = f"v{len(digits)}"
+        column = f"(select list_reduce(list_prepend({v}, list_distinct(regexp_extract_all({v}, '{prefix}({digits});', 1))), lambda a, x: replace(a, '{prefix}' || x || ';', chr({number}))) from (select {column} as {v}))"
+    return f"trim(regexp_replace({column}, '\\s+', ' ', 'g'))"
 
 
 def strip_html(c: Column) -> Column:
@@ -37,9 +64,3 @@ def strip_html(c: Column) -> Column:
 def snippet(c: Column, most: int = 280) -> Column:
     one = collapse(c)
     return F.when(F.length(one) > most, F.concat(F.rtrim(F.substring(one, 1, most - 1)), F.lit("…"))).otherwise(one)
-
-
-def title_case(c: Column) -> Column:
-    """Words of a slug; words of one or two letters in capitals."""
-    words = F.filter(F.split(F.regexp_replace(c, r"[-_+]+", " "), " "), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.when(F.length(w) <= 2, F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000))))), " ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvestry.functions.text import collapse, decode_entities, nz, snippet, strip_html, title_case
+from harvestry.functions.text import collapse, decode_entities, entities_sql, nz, snippet, strip_html
 from harvestry.functions.urls import host, key, normalized, normalized_sql
 from harvestry.plans.views import listings, table
 from harvestry.registry import query
@@ -130,13 +130,13 @@ def srt_claim(spark, d):
 # Keys and dedupe. Each page's URL is seen in four spellings.
 
 SEEN_SQL = """seen as (select page_id, pos, case pos when 0 then url when 1 then url || case when contains(url, '?') then '&' else '?' end || 'utm_source=x' when 2 then regexp_replace(url, '^(https?://)', '\\1www.')
-    else upper(left(url, 4)) || substr(url, 5) end as raw from listings cross join (select unnest([0, 1, 2, 3]) as pos) where not contains(url, '#'))"""
+    else upper(left(url, 4)) || substr(url, 5) end as raw from listings cross join (select unnest([0, 1, 2, 3]) as pos))"""
 
 
 def seen(spark, d) -> DataFrame:
     url = F.col("url")
     forms = F.array(url, F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit("utm_source=x")), F.regexp_replace(url, "^(https?://)", "$1www."), F.concat(F.upper(F.substring(url, 1, 4)), url.substr(F.lit(5), F.length(url))))
-    return listings(spark, d).where(~url.contains("#")).select("page_id", F.posexplode(forms).alias("pos", "raw"))
+    return listings(spark, d).select("page_id", F.posexplode(forms).alias("pos", "raw"))
 
 
 @query(f"with {SEEN_SQL} select page_id, pos, {normalized_sql('raw')} as url from seen", "listings")
@@ -175,10 +175,12 @@ def agg_path_dupes(spark, d):
     return fn_url_normalize(spark, d).groupBy("url").agg(F.count("*").alias("n")).where("n >= 2").agg(F.count("*").alias("groups"))
 
 
-@query("select page_id, sha256(concat_ws(chr(10), title, coalesce(s_company, ''), description, coalesce(s_location, ''), employment, work_mode, url)) as hash from listings", "listings")
+@query("select page_id, sha256(concat_ws(chr(10), trim(title), trim(coalesce(s_company, '')), trim(description), trim(coalesce(s_location, '')), '$' || (page_id % 90 + 40) || 'K / year', trim(employment), trim(work_mode), trim(url))) as hash from listings", "listings")
 def dd_content_hash(spark, d):
-    text = [F.coalesce(c, F.lit("")) for c in ("title", "s_company", "description", "s_location", "employment", "work_mode", "url")]
-    return listings(spark, d).select("page_id", F.sha2(F.concat_ws("\n", *text), 256).alias("hash"))
+    """Digest of the eight fields that make up a listing's content, in order; blanks count as empty."""
+    fields = [F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "s_company", "description", "s_location", "salary", "employment", "work_mode", "url")]
+    pay = F.concat(F.lit("$"), (F.col("page_id") % 90 + 40).cast("string"), F.lit("K / year"))
+    return listings(spark, d).withColumn("salary", pay).select("page_id", F.sha2(F.concat_ws("\n", *fields), 256).alias("hash"))
 
 
 @query("select min(doc_id) as doc_id, count(*) as n from documents group by text, lang")
@@ -194,9 +196,11 @@ def dd_norm_row(spark, d):
     return table(spark, d, "documents").select("doc_id", t.alias("t")).where("t <> ''").groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("t")
 
 
-@query("select page_id, list_sort(list_distinct(list_transform(string_split(title, ' '), lambda x: lower(x)))) as words from listings", "listings")
+@query("select page_id, coalesce(words, []) as words from listings left join (select page_id, list(w order by first_pos) as words from (select page_id, arg_min(w, pos) as w, min(pos) as first_pos from (select page_id, unnest(w) as w, generate_subscripts(w, 1) as pos from (select page_id, string_split(title, ' ') as w from listings)) where w <> '' group by page_id, lower(w)) group by page_id) using (page_id)", "listings")
 def dd_ci_list(spark, d):
-    return listings(spark, d).select("page_id", F.array_sort(F.array_distinct(F.transform(F.split("title", " "), F.lower))).alias("words"))
+    """Words as they stand, each once whatever its case: the first spelling, in the first order."""
+    new = lambda seen, w: F.when((w == "") | F.exists(seen, lambda x: F.lower(x) == F.lower(w)), seen).otherwise(F.array_append(seen, w))
+    return listings(spark, d).select("page_id", F.aggregate(F.split("title", " "), F.array().cast("array<string>"), new).alias("words"))
 
 
 WIN_SQL = """sc as (select s_company, page_id, status, description, location, employment, case status when 'ready' then 100 when 'partial' then 50 else 0 end + least(length(description), 5000) / 50.0 + case when location <> '' then 20 else 0 end + case when employment <> '' then 5 else 0 end as score from listings where s_company is not null),
@@ -258,9 +262,12 @@ def win_job_id_seq(spark, d):
 # Text
 
 
-@query("select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(title, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) as title from listings", "listings")
+_refs = "title || case page_id % 5 when 0 then ' R&amp;D &MDASH; a&ndash;b' when 1 then ' caf&#xE9; &#8217;s &#x1F600;' when 2 then ' &amp;#65; &lt;b&gt; &#39;q&apos; &quot;' when 3 then '&nbsp; &unknown; &#;' else '' end"
+
+
+@query(f"select page_id, {entities_sql('t')} as title from (select page_id, {_refs} as t from listings)", "listings")
 def fn_html_entities(spark, d):
-    return listings(spark, d).select("page_id", decode_entities(F.col("title")).alias("title"))
+    return listings(spark, d).select("page_id", decode_entities(F.expr(_refs)).alias("title"))
 
 
 @query("select page_id, case when length(t) > 280 then rtrim(left(t, 279)) || '…' else t end as snippet from (select page_id, trim(regexp_replace(description, '\\s+', ' ', 'g')) as t from listings)", "listings")
@@ -305,21 +312,56 @@ def fn_quality_score(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.least(F.length(t), F.lit(4000)) / 40.0 + F.when(t.contains("\n"), 10).otherwise(0) - F.when(F.length(t) > 8000, 20).otherwise(0)).alias("score"))
 
 
-@query("select page_id, array_to_string(list_transform(list_filter(string_split_regex(regexp_extract(url, '/([^/?#]+)(?:[?#].*)?$', 1), '[-_+ ]+'), lambda w: w <> ''), lambda w: case when length(w) <= 2 then upper(w) else upper(w[1]) || lower(substr(w, 2)) end), ' ') as title from listings", "listings")
+#: The paths whose slug is a title, in order of precedence; titles that name no posting; kinds of employment.
+SLUGS = (r"(?i)/job/[^/]+/([^/]+)/[0-9]+/[0-9]+/?$", r"(?i)/job/[0-9]+/([^/]+)/?$", r"(?i)/jobs/results/[0-9]+-([^/?#]+)", r"(?i)/(?:careers|jobs)/listing/([^/]+)/[0-9]+/?$")
+GENERIC = r"(?i)^(?:working\s+at\b.*|careers?\s+at\b.*|search\s+our\s+job\s+opportunities\b.*|saved\s+jobs|candidate\s+hub|inclusion|carrier\s+events|the\s+carrier\s+way|jobs?\s+at\b.*|general\s+privacy\s+notice\b.*|privacy[- ]?notice\b.*|job\s+details?|untitled(?:\s+role)?|careers?|google\s+careers?|apply\s+now|service\s+technicians|viessmann\s+climate\s+solutions|building\s+a\s+world\s+of\s+opportunity|browse\s+available\s+job\s+openings.*)$"
+EMPLOYMENT = (("FULL_TIME", "Full-time"), ("PART_TIME", "Part-time"), ("CONTRACTOR", "Contract"), ("TEMPORARY", "Temporary"), ("INTERN", "Internship"), ("INTERNSHIP", "Internship"), ("VOLUNTEER", "Volunteer"), ("OTHER", "Other"))
+_posting = "case page_id % 6 when 0 then 'https://careers.x.com/job/london/senior-qa-engineer/12/' || page_id when 1 then 'https://a.com/en/job/' || page_id || '/Team-lead-IT/' when 2 then 'https://google.com/jobs/results/' || page_id || '-staff-ux-writer?hl=en' when 3 then 'http://b.com/careers/listing/data--analyst-2/' || page_id when 4 then url else 'not a url' end"
+_titles = "case page_id % 7 when 0 then 'Careers at ' || title when 1 then '' when 2 then 'QA' when 3 then ' Job  details ' when 4 then 'Staff writer for UX' else title end"
+_slug = "coalesce(" + ", ".join(f"nullif(regexp_extract(regexp_extract(posting, '^https?://[^/?#]+([^?#]*)', 1), '{x}', 1), '')" for x in SLUGS) + ", '')"
+_from_url = f"array_to_string(list_transform(list_filter(string_split({_slug}, '-'), lambda w: w <> ''), lambda w: case when regexp_full_match(w, '[0-9]+') then w when length(w) <= 2 then upper(w) else upper(w[1]) || lower(substr(w, 2)) end), ' ')"
+_generic = f"length(t) < 3 or regexp_matches(t, '{GENERIC}')"
+TITLED = f"titled as (select page_id, posting, t, {_from_url} as from_url, {_generic} as generic from (select page_id, {_posting} as posting, trim(regexp_replace({_titles}, '\\s+', ' ', 'g')) as t from listings))"
+
+
+def titled(spark, d) -> DataFrame:
+    """page_id, posting (a URL), t (a scraped title), from_url (the title that the URL's slug has), generic (whether t names no posting)."""
+    rows = listings(spark, d).select("page_id", F.expr(_posting).alias("posting"), collapse(F.expr(_titles)).alias("t"))
+    path = F.regexp_extract("posting", r"^https?://[^/?#]+([^?#]*)", 1)
+    slug = F.coalesce(*[F.nullif(F.regexp_extract(path, x, 1), F.lit("")) for x in SLUGS], F.lit(""))
+    words = F.filter(F.split(slug, "-"), lambda w: w != "")
+    name = F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), w).when(F.length(w) <= 2, F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))))
+    return rows.withColumn("from_url", F.array_join(name, " ")).withColumn("generic", (F.length("t") < 3) | F.col("t").rlike(GENERIC))
+
+
+@query(f"with {TITLED} select page_id, from_url as title from titled", "listings")
 def fn_title_from_url(spark, d):
-    return listings(spark, d).select("page_id", title_case(F.regexp_extract("url", r"/([^/?#]+)(?:[?#].*)?$", 1)).alias("title"))
+    return titled(spark, d).select("page_id", F.col("from_url").alias("title"))
 
 
-@query("select page_id, length(trim(title)) < 3 or regexp_matches(lower(trim(title)), '^(home|careers|jobs|search|apply|login)$') as generic from listings", "listings")
+@query(f"with {TITLED} select page_id, generic from titled", "listings")
 def fn_generic_title(spark, d):
-    t = F.lower(F.trim("title"))
-    return listings(spark, d).select("page_id", ((F.length(t) < 3) | t.rlike("^(home|careers|jobs|search|apply|login)$")).alias("generic"))
+    return titled(spark, d).select("page_id", "generic")
+
+
+@query(f"with {TITLED}, w as (select *, list_filter(string_split(lower(from_url), ' '), lambda x: length(x) > 2 and x not in ('and', 'the', 'for', 'with', 'from')) as words from titled) select page_id, case when from_url = '' then t when generic then from_url when len(words) = 0 then t when len(list_filter(words, lambda x: contains(lower(t), x))) < least(2, len(words)) then from_url else t end as title from w", "listings")
+def fn_prefer_url_title(spark, d):
+    """The slug's title where the scraped one is generic or shares fewer than two of its words."""
+    words = F.filter(F.split(F.lower("from_url"), " "), lambda x: (F.length(x) > 2) & ~x.isin("and", "the", "for", "with", "from"))
+    rows = titled(spark, d).withColumn("words", words)
+    shared = F.size(F.filter("words", lambda x: F.lower("t").contains(x)))
+    title = F.when(F.col("from_url") == "", F.col("t")).when(F.col("generic"), F.col("from_url")).when(F.size("words") == 0, F.col("t")).when(shared < F.least(F.lit(2), F.size("words")), F.col("from_url")).otherwise(F.col("t"))
+    return rows.select("page_id", title.alias("title"))
+
+
+_kinds = "case page_id % 9 when 0 then 'FULL_TIME' when 1 then 'part time' when 2 then 'Contractor' when 3 then 'intern' when 4 then 'volunteer' when 5 then 'shift_work ' when 6 then 'temporary' when 7 then 'OTHER' else '' end"
 
 
-@query("select page_id, case upper(replace(replace(employment, '-', '_'), ' ', '_')) when 'FULL_TIME' then 'Full-time' when 'PART_TIME' then 'Part-time' when 'CONTRACT' then 'Contract' else employment end as employment from listings", "listings")
+@query("select page_id, case upper(regexp_replace(k, '[-\\s]+', '_', 'g')) " + " ".join(f"when '{k}' then '{v}'" for k, v in EMPLOYMENT) + f" else trim(replace(k, '_', ' ')) end as employment from (select page_id, {_kinds} as k from listings)", "listings")
 def fn_employment_norm(spark, d):
-    known = F.create_map(*[F.lit(x) for pair in (("FULL_TIME", "Full-time"), ("PART_TIME", "Part-time"), ("CONTRACT", "Contract")) for x in pair])
-    return listings(spark, d).select("page_id", F.coalesce(F.try_element_at(known, F.upper(F.regexp_replace("employment", "[- ]", "_"))), "employment").alias("employment"))
+    known = F.create_map(*[F.lit(x) for pair in EMPLOYMENT for x in pair])
+    rows = listings(spark, d).select("page_id", F.expr(_kinds).alias("k"))
+    return rows.select("page_id", F.coalesce(F.try_element_at(known, F.upper(F.regexp_replace("k", r"[-\s]+", "_"))), F.trim(F.replace("k", F.lit("_"), F.lit(" ")))).alias("employment"))
 
 
 @query("select page_id, case when contains(lower(work_mode), 'remote') then 'Remote' when contains(lower(work_mode), 'hybrid') then 'Hybrid' when contains(lower(work_mode), 'site') then 'On-site' else '' end as mode, case when contains(lower(employment), 'full') then 'Full-time' when contains(lower(employment), 'part') then 'Part-time' else '' end as employment from listings", "listings")
@@ -356,21 +398,22 @@ def prj_csv_cell(spark, d):
 # Sinks as plans
 
 
-@query(f"with k as (select page_id, {normalized_sql('url')} as url, status, created_ms, source, title, s_company, description, location from listings), old as (select url from k where page_id % 2 = 0), b as (select k.*, row_number() over (partition by url order by page_id desc) as n, url in (select url from old) as known from k) select page_id, case when url is null then 'invalid' when n > 1 then 'duplicate' when created_ms < 1704100000000 then 'expired' when known then 'update' when title <> '' and s_company <> '' and length(description) >= 400 and location <> '' then 'ready' else 'queued' end as action from b", "listings")
+@query(f"with k as (select page_id, {normalized_sql('url')} as url, status, created_ms, source, title, s_company, description, location from listings), old as (select url from k where status = 'ready'), b as (select k.*, row_number() over (partition by url order by page_id desc) as n, url in (select url from old) as known from k) select page_id, case when url is null then 'invalid' when n > 1 then 'duplicate' when created_ms < 1704100000000 then 'expired' when known then 'update' when title <> '' and s_company <> '' and length(description) >= 400 and location <> '' then 'ready' else 'queued' end as action from b", "listings")
 def snk_upsert(spark, d):
     """What an upsert by URL would do with each row of a batch: decided as a table before anything is written."""
     k = listings(spark, d).withColumn("key", normalized(F.col("url")))
-    old = k.where("page_id % 2 = 0").select("key").distinct().withColumn("known", F.lit(True))
+    old = k.where("status = 'ready'").select("key").distinct().withColumn("known", F.lit(True))
     b = k.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("page_id")))).join(old, "key", "left")
     ready = (F.col("title") != "") & (F.col("s_company") != "") & (F.length("description") >= 400) & (F.col("location") != "")
     return b.select("page_id", F.when(F.col("key").isNull(), "invalid").when(F.col("n") > 1, "duplicate").when(F.col("created_ms") < 1704100000000, "expired").when(F.col("known"), "update").when(ready, "ready").otherwise("queued").alias("action"))
 
 
-@query(f"with k as (select page_id, {normalized_sql('url')} as url from listings) select b.page_id, o.page_id is not null as exists_already from k b left join (select url, min(page_id) as page_id from k where page_id % 2 = 0 group by url) o using (url) where b.page_id % 2 = 1", "listings")
+@query(f"with k as (select page_id, {normalized_sql('url')} as url, status from listings) select b.page_id, o.page_id as stored_id from k b left join (select url, min(page_id) as page_id from k where status = 'ready' group by url) o using (url)", "listings")
 def jn_board_existing(spark, d):
-    k = listings(spark, d).select("page_id", normalized(F.col("url")).alias("key"))
-    old = k.where("page_id % 2 = 0").groupBy("key").agg(F.min("page_id").alias("old"))
-    return k.where("page_id % 2 = 1").join(old, "key", "left").select("page_id", F.col("old").isNotNull().alias("exists_already"))
+    """Each row of a batch with the ready listing that has its URL, if there is one."""
+    k = listings(spark, d).select("page_id", normalized(F.col("url")).alias("key"), "status")
+    stored = k.where("status = 'ready'").groupBy("key").agg(F.min("page_id").alias("stored_id"))
+    return k.join(stored, "key", "left").select("page_id", "stored_id")
 
 
 @query("select page_id, coalesce(nullif(company, ''), nullif(s_company, ''), '') as company, coalesce(nullif(location, ''), nullif(s_location, ''), '') as location, case when sha256(description) = sha256(title) then 'same' else 'new' end as content from listings", "listings")

@@ -47,7 +47,7 @@ HEAL_LEAD = """x as (select *, lead(status, 1) over w in ('success', 'completed'
     u as (select * from x where status = 'failed' and not coalesce(h, false))"""
 
 
-@query(f"with {HEAL_LEAD} select run_id, robot_id, at_ms, error_message from u", "runs")
+@query(f"with {HEALED} select run_id, robot_id, at_ms, error_message from x where not healed", "runs")
 def jn_heal_lookup(spark, d):
     return unhealed(runs(spark, d)).select("run_id", "robot_id", "at_ms", "error_message")
 
@@ -167,9 +167,18 @@ def fn_resolve_reason(spark, d):
     return runs(spark, d).where("status = 'failed'").select("run_id", F.when(~cleared, F.coalesce(confirmed, failure_reason(F.col("error_message")))).alias("reason"))
 
 
-@query("select run_id, rows_extracted = 0 or (status = 'failed' and rows_extracted < 5) as suggest from runs where status in ('failed', 'success')", "runs")
+_source = "case when run_id % 17 = 0 then 'confirmed' when run_id % 5 = 0 then 'suggested' end"
+
+
+@query(f"""with x as (select run_id, status, rows_extracted, {reason_sql('error_message')} as reason, {_source} as source from runs)
+    select run_id, case when s then 'layout_change' else reason end as reason, case when s then 'suggested' else source end as source
+    from (select *, rows_extracted = 0 and status in ('failed', 'success') and not (reason is not null and source is not null and source <> 'suggested') as s from x)""", "runs")
 def fn_layout_suggest(spark, d):
-    return runs(spark, d).where(F.col("status").isin("failed", "success")).select("run_id", ((F.col("rows_extracted") == 0) | ((F.col("status") == "failed") & (F.col("rows_extracted") < 5))).alias("suggest"))
+    """Runs without rows suggest a changed layout, unless someone has set the reason: that one is kept."""
+    rows = runs(spark, d).select("run_id", "status", "rows_extracted", failure_reason(F.col("error_message")).alias("reason"), F.expr(_source).alias("source"))
+    held = F.coalesce(F.col("reason").isNotNull() & (F.col("source") != "suggested"), F.lit(False))
+    suggest = (F.col("rows_extracted") == 0) & F.col("status").isin("failed", "success") & ~held
+    return rows.select("run_id", F.when(suggest, "layout_change").otherwise(F.col("reason")).alias("reason"), F.when(suggest, "suggested").otherwise(F.col("source")).alias("source"))
 
 
 # Filters and order
