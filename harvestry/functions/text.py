@@ -64,3 +64,11 @@ def strip_html(c: Column) -> Column:
 def snippet(c: Column, most: int = 280) -> Column:
     one = collapse(c)
     return F.when(F.length(one) > most, F.concat(F.rtrim(F.substring(one, 1, most - 1)), F.lit("…"))).otherwise(one)
+
+
+def strip_sql(column: str) -> str:
+    c = f"regexp_replace({column}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
+    c = f"regexp_replace({c}, '(?i)<li[^>]*>', chr(10) || '• ', 'g')"
+    c = f"regexp_replace({c}, '(?i)<br ?/?>|</(p|div|h[1-6]|li|ul|ol|tr)>', chr(10), 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '[ \\t]+', ' ', 'g')"
+    return f"trim(regexp_replace({c}, ' ?\\n[ \\n]*', chr(10), 'g'))"
