@@ -1,7 +1,7 @@
 """Every query of the library: importing the operator modules registers them."""
 
 from harvestry.operators import canonical, helpers, listings, records, runs  # noqa: F401
-from harvestry.sources import payloads  # noqa: F401
+from harvestry.sources import pages, payloads  # noqa: F401
 from harvestry.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
