@@ -334,13 +334,6 @@ def agg_running_avg(spark, d):
     return runs(spark, d).groupBy("robot_id").agg(F.count("duration_ms").alias("n"), F.avg("duration_ms").alias("mean_ms"))
 
 
-@query("select at_ms // 86400000 as day, count(*) as calls, sum(rows_extracted) as used, sum(rows_extracted) >= 1000 as paused from runs group by 1", "runs")
-def st_daily_budget(spark, d):
-    """Counters of each UTC day, and whether its budget is used up."""
-    used = F.sum("rows_extracted")
-    return runs(spark, d).groupBy(F.floor(F.col("at_ms") / 86_400_000).alias("day")).agg(F.count("*").alias("calls"), used.alias("used"), (used >= 1000).alias("paused"))
-
-
 @query("select robot_id, case when sum(dt) > 0 then sum(v * dt) / sum(dt) end as mean, max(v) as most, arg_max(v, at_ms) as latest from (select robot_id, at_ms, v, case when at_ms > before then at_ms - before end as dt from (select robot_id, at_ms, max(rows_extracted) as v, lag(at_ms) over (partition by robot_id order by at_ms) as before from runs group by robot_id, at_ms)) group by robot_id", "runs")
 def agg_summary_series(spark, d):
     """Mean weighted by time, largest and latest value of each robot's series."""

@@ -384,14 +384,6 @@ def agg_ops_rollup(spark, d):
     return runs(spark, d).where("at_ms between 1704100000000 and 1704400000000").agg(F.count("*").alias("runs"), F.count_if(s.isin(*SUCCESS)).alias("passed"), F.count_if(s.isin(*FAILED)).alias("failed"), F.count_if(s.isin(*ACTIVE)).alias("running"), F.sum("rows_extracted").alias("rows_extracted"), F.sum("jobs_added").alias("jobs_added"))
 
 
-@query("select (at_ms + 19800000) // 10800000 * 10800000 - 19800000 as bucket_ms, count(*) as total, count(*) filter (where status in ('success','completed')) as passed, count(*) filter (where status in ('failed','dead','aborted')) as failed, sum(jobs_added)::bigint as jobs_added from runs group by 1", "runs")
-def st_tumbling_ops(spark, d):
-    """Buckets of three hours on the operations clock."""
-    b = (F.floor((F.col("at_ms") + IST_MS) / 10_800_000) * 10_800_000 - IST_MS).alias("bucket_ms")
-    s = F.col("status")
-    return runs(spark, d).groupBy(b).agg(F.count("*").alias("total"), F.count_if(s.isin(*SUCCESS)).alias("passed"), F.count_if(s.isin(*FAILED)).alias("failed"), F.sum("jobs_added").alias("jobs_added"))
-
-
 @query("with b as (select max(at_ms) as now from runs), g as (select now, (now + 19800000) // 10800000 * 10800000 - 19800000 - 7 * 10800000 as since from b) select i, since + i * 10800000 as bucket_ms, count(run_id) as total from g cross join range(8) t(i) left join runs on at_ms >= since + i * 10800000 and at_ms < case when i = 7 then now + 1 else since + (i + 1) * 10800000 end group by 1, 2", "runs")
 def dt_bucket_index(spark, d):
     """The eight buckets of the last 24 hours by arithmetic on the time, not by a join; the last one ends now."""
@@ -546,12 +538,6 @@ def hp_stale_pending(spark, d):
     return r.where((F.col("status") == "running") & (r.agg(F.max("at_ms")).scalar() - F.col("started_ms") > 86_400_000)).orderBy("started_ms", "run_id").limit(40).select("run_id")
 
 
-@query("select run_id, case when status <> 'running' then at_ms end as sort_at, case when status = 'failed' then " + reason_sql("error_message") + " end as reason from runs", "runs")
-def st_run_terminal(spark, d):
-    s = F.col("status")
-    return runs(spark, d).select("run_id", F.when(s != "running", F.col("at_ms")).alias("sort_at"), F.when(s == "failed", failure_reason(F.col("error_message"))).alias("reason"))
-
-
 @query("select run_id, case when resolved is null then '—' when resolved < 1000 then resolved || 'ms' when resolved < 60000 then (resolved // 1000) || 's' else (resolved // 60000) || 'm ' || (resolved // 1000 % 60) || 's' end as shown from dur".replace("select run_id", f"with {DURATION_SQL} select run_id", 1), "runs")
 def hp_duration_fmt(spark, d):
     r, s = F.col("resolved"), F.floor(F.col("resolved") / 1000)
