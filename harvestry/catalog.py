@@ -1,6 +1,6 @@
 """Every query of the library: importing the operator modules registers them."""
 
-from harvestry.operators import canonical, helpers, listings, records, runs  # noqa: F401
+from harvestry.operators import canonical, helpers, listings, more, records, runs  # noqa: F401
 from harvestry.sources import pages, payloads, sinks  # noqa: F401
 from harvestry.streaming import jobs  # noqa: F401
 from harvestry.registry import QUERIES, SQL

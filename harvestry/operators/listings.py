@@ -298,18 +298,61 @@ def fn_norm_description(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(h.rlike("<[a-z]"), strip_html(h)).otherwise(h).alias("text"))
 
 
-@query("select doc_id, len(w) as words, len(list_distinct(w)) as distinct_words, len(w) > 80 and len(list_distinct(w)) * 100 < 28 * len(w) as repetitive from (select doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') as w from documents)")
+#: What a posting's text says, what site navigation, teasers and employers' own praise say.
+SIGNAL = r"(?i)responsibilit|requirement|qualification|about\s+(?:the\s+)?(?:role|job|position)|what\s+you.?ll|you\s+will|we\s+(?:are\s+)?looking|benefits|experience\s+(?:required|preferred)|job\s+description|key\s+duties|who\s+you\s+are"
+STRONG = r"(?i)responsibilit|requirements?|qualifications?|minimum qualifications?|preferred qualifications?|you will\b|what you.?ll\b|job description|key duties|we are looking|experience (?:required|preferred)"
+BODY = r"(?i)responsibilit|requirements?|qualifications?|minimum qualifications?|preferred qualifications?|about\s+(?:the\s+)?(?:role|job|position)|what you.?ll do|job description|key duties|we are looking"
+TEASERS = (r"(?is)apply for (?:a|an|the)\s+.{5,200}?\s+(?:job|role|position|opening)\s+at\b", r"(?is)(?:read about|learn more about)\s+(?:the|this)\s+role\b.{0,60}(?:find out|see if|right for you)")
+CHROME = r"(?i)home\s*>|former\s+former|explore\s+explore|cookie\s+policy|privacy\s+policy|all\s+rights\s+reserved|terms\s+(?:of\s+)?(?:use|service)|skip\s+to\s+(?:main\s+)?content|accept\s+(?:all\s+)?cookies|sign\s+in\s+create\s+account|keyword\(s\)|radius\s+unit|\bradius\s+\d+|search\s+(?:carrier\s+)?jobs\b|search\s+jobs\s+search\s+jobs|select\s+(?:a\s+)?(?:category|location|communications|job\s+category)|browse\s+available\s+job\s+openings"
+PRAISE = r"(?i)overview\s+who\s+we\s+are\s+collaborative\.?\s*respectful|a\s+place\s+to\s+dream\s+and\s+do"
+LINKISH = r"(?i)\b(?:home|about|careers|contact|blog|news|login|apply now)\b"
+# Documents as descriptions, with what postings and chrome say put before some of them.
+SAID = ("You will own it. Key duties: ", "Privacy Policy. ", "Apply for the Senior Baker job at Acme. ", "former former former former ", "explore explore explore explore explore ", "Home about careers contact blog news login apply now home about ", "A place to dream and do. ", "", "Responsibilities: A place to dream and do ")
+_said = "[" + ", ".join(f"'{x}'" for x in SAID) + f"][doc_id % {len(SAID)} + 1]"
+JUNKED = f"""raw as (select doc_id, trim(regexp_replace({_said} || coalesce(text, ''), '[ \\t]+', ' ', 'g')) as t from documents), w as (select *, list_filter(string_split_regex(lower(t), '[ \\t\\n\\r]+'), lambda x: x <> '') as w from raw),
+    junked as (select doc_id, t, length(t) < 40 or (regexp_matches(t, '{CHROME}') and not regexp_matches(t, '{BODY}')) or regexp_matches(t, '{TEASERS[0]}') or regexp_matches(t, '{TEASERS[1]}') or (length(t) < 280 and not regexp_matches(t, '{STRONG}'))
+    or (regexp_matches(t, '{PRAISE}') and (not regexp_matches(t, '{SIGNAL}') or (length(t) < 900 and not regexp_matches(t, '(?i)\\bresponsibilit|\\bqualifications?\\b|\\brequirements?\\b')))) or (len(w) > 80 and len(list_distinct(w)) * 100 < 28 * len(w))
+    or len(regexp_extract_all(t, '(?i)\\bformer\\b')) >= 4 or (len(regexp_extract_all(t, '(?i)\\bexplore\\b')) >= 5 and not regexp_matches(t, '{SIGNAL}')) or (length(t) > 1200 and not regexp_matches(t, '{SIGNAL}') and len(regexp_extract_all(t, '{LINKISH}')) >= 8) as junk from w),
+    scored as (select doc_id, t, junk, case when junk then 0 else least(length(t), 4000) / 40.0 + case when regexp_matches(t, '{SIGNAL}') then 40 else 0 end + case when contains(t, chr(10)) or regexp_matches(t, '•|\\*|-\\s+\\w') then 10 else 0 end - case when length(t) > 8000 then 20 else 0 end end as score from junked)"""
+
+
+def described(spark, d) -> DataFrame:
+    """doc_id, t (the text of a posting's page), junk (navigation, a teaser, praise or repetition instead of a posting), score."""
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.concat(said, F.coalesce("text", F.lit(""))), r"[ \t]+", " ")).alias("t"))
+    rows = rows.withColumn("w", F.filter(F.split(F.lower("t"), r"[ \t\n\r]+"), lambda x: x != ""))
+    t, n, words = F.col("t"), F.length("t"), F.size("w")
+    signal, often = t.rlike(SIGNAL), lambda pattern: F.regexp_count(t, F.lit(pattern))
+    junk = (
+        (n < 40) | (t.rlike(CHROME) & ~t.rlike(BODY)) | t.rlike(TEASERS[0]) | t.rlike(TEASERS[1]) | ((n < 280) & ~t.rlike(STRONG))
+        | (t.rlike(PRAISE) & (~signal | ((n < 900) & ~t.rlike(r"(?i)\bresponsibilit|\bqualifications?\b|\brequirements?\b")))) | ((words > 80) & (F.size(F.array_distinct("w")) * 100 < words * 28))
+        | (often(r"(?i)\bformer\b") >= 4) | ((often(r"(?i)\bexplore\b") >= 5) & ~signal) | ((n > 1200) & ~signal & (often(LINKISH) >= 8))
+    )
+    rows = rows.select("doc_id", "t", junk.alias("junk"))
+    shape = t.contains("\n") | t.rlike(r"•|\*|-\s+\w")
+    score = F.least(n, F.lit(4000)) / 40.0 + F.when(signal, 40).otherwise(0) + F.when(shape, 10).otherwise(0) - F.when(n > 8000, 20).otherwise(0)
+    return rows.withColumn("score", F.when(F.col("junk"), 0.0).otherwise(score))
+
+
+@query(f"with {JUNKED} select doc_id, junk from scored")
 def fn_junk_description(spark, d):
-    """The word-variety rule of junk descriptions."""
-    w = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda x: x != "")
-    n, m = F.size("w"), F.size(F.array_distinct("w"))
-    return table(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", n.cast("long").alias("words"), m.cast("long").alias("distinct_words"), ((n > 80) & (m * 100 < n * 28)).alias("repetitive"))
+    return described(spark, d).select("doc_id", "junk")
 
 
-@query("select doc_id, least(length(text), 4000) / 40.0 + case when contains(text, chr(10)) then 10 else 0 end - case when length(text) > 8000 then 20 else 0 end as score from documents")
+@query(f"with {JUNKED} select doc_id, score from scored")
 def fn_quality_score(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", (F.least(F.length(t), F.lit(4000)) / 40.0 + F.when(t.contains("\n"), 10).otherwise(0) - F.when(F.length(t) > 8000, 20).otherwise(0)).alias("score"))
+    return described(spark, d).select("doc_id", "score")
+
+
+@query(f"with {JUNKED}, p as (select a.doc_id, a.t as ta, a.score as sa, coalesce(b.t, '') as tb, coalesce(b.score, 0) as sb from scored a left join scored b on b.doc_id = a.doc_id + 1) select doc_id, md5(case when sa = 0 and sb = 0 then case when ta = '' then tb when tb = '' then ta when length(ta) <= length(tb) then ta else tb end when sa >= sb then ta else tb end) as best from p")
+def fn_best_description(spark, d):
+    """The better of a description and its fallback, the next document's; of two junk ones the shorter that is not blank."""
+    x = described(spark, d)
+    other = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("tb"), F.col("score").alias("sb"))
+    p = x.join(other, "doc_id", "left").withColumn("tb", F.coalesce("tb", F.lit(""))).withColumn("sb", F.coalesce("sb", F.lit(0.0)))
+    shorter = F.when(F.col("t") == "", F.col("tb")).when(F.col("tb") == "", F.col("t")).when(F.length("t") <= F.length("tb"), F.col("t")).otherwise(F.col("tb"))
+    best = F.when((F.col("score") == 0) & (F.col("sb") == 0), shorter).when(F.col("score") >= F.col("sb"), F.col("t")).otherwise(F.col("tb"))
+    return p.select("doc_id", F.md5(best).alias("best"))
 
 
 #: The paths whose slug is a title, in order of precedence; titles that name no posting; kinds of employment.
