@@ -36,7 +36,7 @@ AGAIN = 4
 #: Pieces of one length ranked together.
 RANKED = 256
 #: Parts of texts, and words of letters, kept in a worker's tables; a table is emptied beyond that.
-PARTS, WORDS = 40_000, 80_000
+PARTS, WORDS = 150_000, 400_000
 #: Words of letters encoded in one call, and the signs that may follow a word without being part of a token of it.
 TOGETHER = 200
 SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -105,6 +105,9 @@ class Encoder:
         self.parts.update((p, self.words[w] + ids[t]) for p, w, t in split)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces: id_col, piece, start, length, ids_crc32, and their ids if asked for.
 
@@ -114,7 +117,9 @@ def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer_file)
+        if tokenizer_file not in _encoders:
+            _encoders[tokenizer_file] = Encoder(tokenizer_file)
+        encoder = _encoders[tokenizer_file]
         end = np.array([END], "<u4").tobytes()
         for rows, data, at in slices(batches, text_col):
             whole = data.tobytes()
