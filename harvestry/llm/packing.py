@@ -37,6 +37,8 @@ AGAIN = 4
 RANKED = 256
 #: Parts of texts, and words of letters, kept in a worker's tables; a table is emptied beyond that.
 PARTS, WORDS = 150_000, 400_000
+#: Bytes of text whose different parts are looked up together.
+TEXT = 3 << 20
 #: Words of letters encoded in one call, and the signs that may follow a word without being part of a token of it.
 TOGETHER = 200
 SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -121,7 +123,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
             _encoders[tokenizer_file] = Encoder(tokenizer_file)
         encoder = _encoders[tokenizer_file]
         end = np.array([END], "<u4").tobytes()
-        for rows, data, at in slices(batches, text_col):
+        for rows, data, at in slices(batches, text_col, TEXT):
             whole = data.tobytes()
             parts = [whole[at[i] : at[i + 1]].replace(b"\n", b" ").split(b" ") for i in range(rows.num_rows)]
             encoder.learn({w for p in parts for w in p})
