@@ -32,7 +32,7 @@ BLANK[list(b" \t")] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text whose n-grams are held at once; a longer text is cut between words.
-PART = 4 << 20
+PART = 2 << 20
 #: Bits of a level's filter: this many for each frequent phrase, and at most 2^26 (8 MB).
 BITS_EACH, MOST_BITS = 16, 26
 #: Parts of a language that are ranked by themselves first.
@@ -117,27 +117,27 @@ class BitFilter:
         return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def cut(batches, text_col: str, lang_col: str, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, list, int]]:
-    """(bytes, offsets, languages, words at the start that count with the part before); a long text comes in parts cut between words, each with the last `overlap` words before it."""
+def cut(batches, text_col: str, lang_col: str, overlap: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(bytes, offsets, languages); a long text comes in parts cut between words, each with the last `overlap` words before it, too few for an n-gram of their own."""
     stop = BLANK | ENDS
-    for rows, data, at in slices(batches, text_col, PART):
+    for rows, data, at in slices(batches, text_col, limit):
         langs = values(rows, lang_col).to_pylist()
-        if len(data) <= 2 * PART:
-            yield data, at, langs, 0
+        if len(data) <= 2 * limit:
+            yield data, at, langs
             continue
         begin, again = 0, 0
         while begin < len(data):
-            end = min(len(data), begin + PART)
+            end = min(len(data), begin + limit)
             while end < len(data) and not (stop[data[end]] or stop[data[end - 1]]):
                 end += 1
             part = data[again:end]
-            yield part, np.array([0, len(part)]), langs, len(word_spans(data[again:begin], np.array([0, begin - again]))[0]) if begin > again else 0
+            yield part, np.array([0, len(part)]), langs
             s, _, piece = word_spans(part, np.array([0, len(part)]))
             last = s[-overlap:][piece[-overlap:] == piece[-1]] if overlap and len(s) else s[:0]
             begin, again = end, (again + int(last[0]) if len(last) else end)
 
 
-def exploded(docs: DataFrame, n: int, parts: np.ndarray | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def exploded(docs: DataFrame, n: int, parts: np.ndarray | None, text_col: str = "text", lang_col: str = "lang", part: int = PART) -> DataFrame:
     """lang, phrase, n: the n-grams of all texts, counted by slice; parts: bits of the frequent (n-1)-grams."""
     held = docs.sparkSession.sparkContext.broadcast(parts) if parts is not None else None  # 8 MB at most
 
@@ -145,7 +145,7 @@ def exploded(docs: DataFrame, n: int, parts: np.ndarray | None, text_col: str =
         seen = BitFilter(held.value) if held else None
         codes: dict[str, int] = {}
         lang_hashes = np.zeros(0, np.uint64)
-        for data, at, langs, skip in cut(batches, text_col, lang_col, n - 1):
+        for data, at, langs in cut(batches, text_col, lang_col, n - 1, part):
             for x in langs:
                 if x not in codes:
                     codes[x] = len(codes)
@@ -154,11 +154,7 @@ def exploded(docs: DataFrame, n: int, parts: np.ndarray | None, text_col: str =
             if not len(words.code):
                 continue
             allowed = seen.has(gram_hashes(hashes(words.dictionary)[words.code], n - 1, lang_hashes[words.lang])) if seen else None
-            if skip >= n:  # n-grams of repeated words only
-                words.piece[: skip - n + 1] = -1 - np.arange(skip - n + 1)
             lang, own, many = words.counts(n, allowed)
-            if skip and n == 1:
-                raise AssertionError("one word has no overlap")
             dictionary = words.dictionary.cast(pa.large_string())
             for i in range(0, len(lang), 1 << 16):
                 columns = [dictionary.take(pa.array(c[i : i + (1 << 16)])) for c in own]
@@ -211,11 +207,11 @@ def word_spans_of_phrases(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1, at
 
 
-def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", part: int = PART) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to max_n words that occur `least` times (lang, size, phrase, f), and the word occurrences of each language (lang, n)."""
     levels, words, bits = [], None, None
     for n in range(1, max_n + 1):
-        counted = exploded(docs, n, bits, text_col, lang_col).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        counted = exploded(docs, n, bits, text_col, lang_col, part).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         if n == 1:
             counted = staged(counted, "phrases-words")
             words = staged(counted.groupBy("lang").agg(F.sum("f").alias("n")), "phrases-totals")
@@ -244,7 +240,7 @@ def scored(counts: DataFrame, max_n: int = MAX_N) -> DataFrame:
     return best.select("lang", "size", "phrase", F.col("f").alias("a"), "x.l", "x.r", "x.score")
 
 
-def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share: int = SHARE, best: int = BEST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share: int = SHARE, best: int = BEST, text_col: str = "text", lang_col: str = "lang", part: int = PART) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of each language.
 
     Null text is empty, null language is `und`; texts without words, and phrases below `least`, give no rows; repeated
@@ -252,7 +248,7 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share:
     bytes. A longer phrase hides a shorter one inside it if it makes up `share` percent of it; it is enough to look
     at extensions by one word, as a part is at least as frequent as what holds it.
     """
-    counts, words = phrase_counts(docs, max_n, least, text_col, lang_col)
+    counts, words = phrase_counts(docs, max_n, least, text_col, lang_col, part)
     found = staged(scored(counts, max_n), "phrases-scored")
     parts = F.split("phrase", " ", -1)
     inside = found.where("size > 2").select("lang", "a", F.explode(F.array(F.array_join(F.slice(parts, 1, F.col("size") - 1), " "), F.array_join(F.slice(parts, 2, F.col("size") - 1), " "))).alias("phrase"))

@@ -69,7 +69,7 @@ def is_word(byte: int) -> bool:
     return byte >= 0x80 or 0x30 <= byte <= 0x39 or 0x41 <= byte <= 0x5A or 0x61 <= byte <= 0x7A
 
 
-def pieces(rows: pa.RecordBatch, text_col: str, max_n: int, limit: int = PART) -> Iterator[pa.Table]:
+def pieces(rows: pa.RecordBatch, text_col: str, max_n: int, limit: int) -> Iterator[pa.Table]:
     """Tables (doc, part, skip, text) of at most about `limit` bytes. A text cut between words begins with the last max_n - 1 words of the part before, `skip` of them."""
     column = texts(rows, text_col)
     sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
@@ -81,12 +81,12 @@ def pieces(rows: pa.RecordBatch, text_col: str, max_n: int, limit: int = PART) -
             yield pa.table({"doc": pa.array(np.arange(first, last)), "part": pa.array(np.zeros(n, np.int64)), "skip": pa.array(np.zeros(n, np.int64)), "text": column.slice(first, n).cast(pa.large_string())})
             first = last
             continue
-        data, at, part, carried = memoryview(column[first].as_buffer()), 0, 0, []
+        data, at, part, carried = column[first].as_py(), 0, 0, []
         while at < len(data):
             end = min(len(data), at + limit)
             while end < len(data) and is_word(data[end - 1]) and is_word(data[end]):
                 end += 1
-            chunk = b" ".join([*carried, bytes(data[at:end])])
+            chunk = b" ".join([*carried, data[at:end]])
             yield pa.table({"doc": [first], "part": [part], "skip": [len(carried)], "text": pa.array([chunk], pa.large_binary()).cast(pa.large_string())})
             if max_n > 1:
                 carried = last_words(chunk, max_n - 1)
@@ -108,7 +108,7 @@ def last_words(chunk: bytes, n: int) -> list[bytes]:
     return found[::-1]
 
 
-def bucket_counts(docs: DataFrame, label: str, id_col: str, text_col: str, max_n: int = MAX_N, buckets: int = BUCKETS) -> DataFrame:
+def bucket_counts(docs: DataFrame, label: str, id_col: str, text_col: str, max_n: int = MAX_N, buckets: int = BUCKETS, part: int = PART) -> DataFrame:
     """Staged: kind 0, a row for each document (id, n_words, buckets, counts); kind 1, the sums of a task (buckets, counts)."""
     names = ["kind", "id", "n_words", "buckets", "counts"]
     kinds = [pa.int8(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -121,10 +121,10 @@ def bucket_counts(docs: DataFrame, label: str, id_col: str, text_col: str, max_n
             db.execute("create table counts (doc bigint, bucket integer, n bigint); create table sums (bucket integer, n bigint)")
             count = count_sql(max_n, buckets)
             id_type = None
-            for rows, _, _ in slices(batches, text_col, PART):
+            for rows, _, _ in slices(batches, text_col, part):
                 ids = values(rows, id_col)
                 id_type = ids.type
-                for piece in pieces(rows, text_col, max_n):
+                for piece in pieces(rows, text_col, max_n, part):
                     db.register("pieces", piece)
                     db.execute(count)
                     db.unregister("pieces")
@@ -196,7 +196,7 @@ def ranked(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return won.where(F.col("rank") <= F.col("drawn")).select("row", F.col("rank").cast("long").alias("rank"))
 
 
-def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", max_n: int = MAX_N, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", max_n: int = MAX_N, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED, part: int = PART) -> DataFrame:
     """One row per document: id_col, n_features, weight, score, rank (null unless drawn).
 
     Null text has no words: weight 0. A null identifier draws its noise from the text 'null' and is the last of
@@ -204,8 +204,8 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     target texts all gains are of the smoothed counts; an empty table gives no rows. Other columns are ignored.
     A long text is counted in parts.
     """
-    source = bucket_counts(docs, "dsir-source", id_col, text_col, max_n, buckets)
-    wanted = bucket_counts(target.select(F.lit(0).alias("item"), F.col(target_col).alias("text")), "dsir-target", "item", "text", max_n, buckets)
+    source = bucket_counts(docs, "dsir-source", id_col, text_col, max_n, buckets, part)
+    wanted = bucket_counts(target.select(F.lit(0).alias("item"), F.col(target_col).alias("text")), "dsir-target", "item", "text", max_n, buckets, part)
     gain = staged(gains(source, wanted, buckets), "dsir-gains")  # one row of `buckets` numbers
     n_features = F.coalesce(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
     gained = F.aggregate(F.zip_with("buckets", "counts", lambda b, n: F.element_at(F.col("gains"), b + 1) * n), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -18,10 +18,11 @@ from .mixing import op4_pareto_mix
 from .packing import op7_best_fit_packing
 from .quality import op8_quality
 from .sharding import op10_tiered_shards
+from .toxicity import op13_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quote_linking, op2_suffix_dedup, op3_language_bloom, op4_pareto_mix, op5_flac_media, op6_oph_near_dedup, op7_best_fit_packing, op8_quality, op9_exact_dedup, op10_tiered_shards, op11_importance_resampling, op12_collocations)}
+    return {f.__name__: f for f in (op1_quote_linking, op2_suffix_dedup, op3_language_bloom, op4_pareto_mix, op5_flac_media, op6_oph_near_dedup, op7_best_fit_packing, op8_quality, op9_exact_dedup, op10_tiered_shards, op11_importance_resampling, op12_collocations, op13_toxicity)}
 
 
 def oracle_sql() -> dict:
