@@ -7,12 +7,15 @@ probability p grows with the square root of its size, longer documents being wor
 length, and is one at most; p * size adds up to the words asked for. Ranks are random odds over
 inclusion odds, q = u/(1-u) / (p/(1-p)). The sample has a fixed size in words: documents are taken in
 rank order as long as they fit. The threshold is found from sums over rank cells, refined until
-single rows are left, so that no source is ever sorted in one task.
+single rows are left, so that no source is ever sorted in one task. The words that the first document
+that does not fit leaves open are made up from the source's histogram of sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, join_small, staged
@@ -23,10 +26,13 @@ CAP = 3.0
 CELLS = 2048
 #: What places a row in the order of ranks: two refinements of q, then q itself with what tells its text, then, among rows alike in all that, where they are in the input.
 LEVELS = ("c1", "c2", "tie", "part", "row")
-#: Documents beyond the first that does not fit, taken one by one in rank order if they do.
-FILLS = 3
-#: Changes made to sources with few documents, whose words are off by more than this share of what is asked for.
-CHANGES, NEAR = 4, 0.01
+#: Sizes that an exchange is tried with, of either kind.
+TRIES = 32
+CLASSES = "array<struct<size: bigint, m: bigint>>"
+
+
+def spot() -> Column:
+    return F.struct("tie", "row")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -64,7 +70,7 @@ def inclusion(rows: DataFrame) -> DataFrame:
     down = Window.partitionBy("g").orderBy(F.desc("size"))
     words, root = F.col("size") * F.col("n"), F.sqrt("size")
     certain = F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum(root * words).over(down.rowsBetween(0, Window.unboundedFollowing))
+    rest = F.sum(root * words).over(Window.partitionBy("g")) - F.coalesce(F.sum(root * words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     c = (F.col("part_wanted") * F.sum(words).over(Window.partitionBy("g")) - certain) / rest
     found = sizes.withColumn("c", c).where(F.col("c") * root <= 1 + 1e-9).groupBy("g").agg(F.max_by("c", "size").alias("c"))
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("c", F.lit(0.0)) * root))
@@ -72,23 +78,89 @@ def inclusion(rows: DataFrame) -> DataFrame:
     return join_small(rows, staged(found, "mix-inclusion"), "g", "left").withColumn("p", p).drop("c")
 
 
-def below(rows: DataFrame, cell: str, limits: DataFrame) -> DataFrame:
-    """For each source the first cell whose words pass `want`: g, want less the cells before it, that cell."""
-    sums = rows.groupBy("g", cell).agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("g").orderBy(cell)
-    sums = join_small(sums, limits, "g").withColumn("upto", F.sum("words").over(run))
-    passed = F.min(F.when(F.col("upto") > F.col("want"), F.struct(cell, (F.col("want") - F.col("upto") + F.col("words")).alias("rest"))))
-    return sums.groupBy("g").agg(passed.alias("x")).where("x is not null").select("g", F.col(f"x.{cell}").alias(f"at_{cell}"), F.col("x.rest").alias("want"))
+def below(rows: DataFrame, keys: list[str], cell: str, amount: Column, limits: DataFrame) -> DataFrame:
+    """For each group the first cell at which `amount`, added up, passes `want`: keys, that cell, want less the cells before it."""
+    sums = rows.groupBy(*keys, cell).agg(F.sum(amount).alias("some"))
+    run = Window.partitionBy(*keys).orderBy(cell)
+    sums = join_small(sums, limits, keys).withColumn("upto", F.sum("some").over(run))
+    passed = F.min(F.when(F.col("upto") > F.col("want"), F.struct(cell, (F.col("want") - F.col("upto") + F.col("some")).alias("rest"))))
+    return sums.groupBy(*keys).agg(passed.alias("x")).where("x is not null").select(*keys, F.col(f"x.{cell}").alias(f"at_{cell}"), F.col("x.rest").alias("want"))
+
+
+def cuts(rows: DataFrame, keys: list[str], amount: Column, asked: DataFrame) -> DataFrame:
+    """For each group of `asked` (keys, want) the row in rank order at which `amount`, added up, first passes `want`: keys, stop, want less what is before it. Groups that never pass it are left out."""
+    edge, want = rows, asked
+    for level in LEVELS:
+        want = staged(below(edge, keys, level, amount, want), "mix-cell")
+        edge = join_small(edge, want.select(*keys, f"at_{level}"), keys).where(F.col(level) == F.col(f"at_{level}")).drop(f"at_{level}")
+        if level == "c2":
+            edge = staged(edge, "mix-edge")
+        want = want.select(*keys, "want")
+    return staged(edge.select(*keys, spot().alias("stop")).join(want, keys), "mix-cut")
+
+
+def greedy(start: Column, sizes: Column, room: Callable[[Column, Column], Column], sign: int) -> Column:
+    """Sizes from the largest on: `room` documents of each (given the words still wanted and the size) are taken, or given back if sign is -1. The words still wanted, and the sizes changed with their new number."""
+
+    def step(s, x):
+        k = F.greatest(F.lit(0), room(s["gap"], x)).cast("long")
+        put = F.struct(x["size"].alias("size"), (x["taken"] + sign * k).alias("m"))
+        return F.when(k > 0, F.struct((s["gap"] - sign * k * x["size"]).alias("gap"), F.array_append(s["classes"], put).alias("classes"))).otherwise(s)
+
+    return F.aggregate(sizes, start, step)
+
+
+def takes(gap: Column, x: Column) -> Column:
+    return F.least(x["n"] - x["taken"], F.floor(gap / x["size"]))
 
 
-def pareto_sample(rows: DataFrame, fills: int = FILLS) -> DataFrame:
+def filled(gap: Column, sizes: Column) -> Column:
+    """Documents still free, as many of each size as fit the gap."""
+    return greedy(F.struct(gap.cast("double").alias("gap"), F.array().cast(CLASSES).alias("classes")), sizes, takes, 1)
+
+
+def exchanged(gap: Column, sizes: Column) -> Column:
+    """Exchanges: one more document of a size, and others given back as they fit what that is too much; or one given back, and others taken as they fit. Each of the TRIES smallest sizes begins one."""
+
+    def smallest(some):
+        return F.slice(F.reverse(F.filter(sizes, some)), 1, TRIES)
+
+    def start(y, sign):
+        return F.struct((gap - sign * y["size"]).cast("double").alias("gap"), F.array(F.struct(y["size"].alias("size"), (y["taken"] + sign).alias("m"))).cast(CLASSES).alias("classes"))
+
+    def other(y, n):
+        return lambda g, x: F.when(x["size"] != y["size"], n(g, x)).otherwise(0)
+
+    more = F.transform(smallest(lambda x: x["n"] > x["taken"]), lambda y: greedy(start(y, 1), sizes, other(y, lambda g, x: F.least(x["taken"], F.floor(-g / x["size"]))), -1))
+    less = F.transform(smallest(lambda x: x["taken"] > 0), lambda y: greedy(start(y, -1), sizes, other(y, takes), 1))
+    return F.concat(more, less)
+
+
+def settled(live: DataFrame, cut: DataFrame) -> DataFrame:
+    """g, size, m: the sizes of which not those before the cut are taken but the first m in rank order, so that the words taken come as near to what is wanted as whole documents allow.
+
+    Decided on the histogram of sizes: a row for each source, as long as it has different sizes.
+    """
+    sizes = join_small(live, cut, "g").groupBy("g", "size").agg(F.count("*").alias("n"), F.count_if(spot() < F.col("stop")).alias("taken"))
+    down = F.reverse(F.array_sort(F.collect_list(F.struct("size", "n", "taken"))))
+    rows = sizes.groupBy("g").agg(down.alias("sizes")).join(cut.select("g", F.col("want").alias("gap")), "g")
+    rows = rows.withColumn("fill", filled(F.col("gap"), F.col("sizes")))
+    # The sizes as they are after the fill; then the exchange that leaves least, if it leaves less than the fill.
+    rows = rows.withColumn("made", F.map_from_entries("fill.classes"))
+    after = F.transform("sizes", lambda x: F.struct(x["size"].alias("size"), x["n"].alias("n"), F.coalesce(F.try_element_at(F.col("made"), x["size"]), x["taken"]).alias("taken")))
+    rows = rows.withColumn("after", after)
+    tries = F.transform(exchanged(F.col("fill.gap"), F.col("after")), lambda t: F.struct(F.abs(t["gap"]).alias("miss"), t["classes"].alias("classes")))
+    rows = rows.withColumn("best", F.array_min(F.array_append(tries, F.struct(F.abs(F.col("fill.gap")).alias("miss"), F.array().cast(CLASSES).alias("classes")))))
+    both = F.map_concat(F.map_filter("made", lambda k, _: ~F.exists("best.classes", lambda c: c["size"] == k)), F.map_from_entries("best.classes"))
+    return staged(rows.select("g", F.explode(both).alias("size", "m")), "mix-classes")
+
+
+def pareto_sample(rows: DataFrame) -> DataFrame:
     """rows: g (source), row, id, mark, size, p, u -> with boolean `taken`, each source's words close to sum(p * size).
 
-    Documents are taken in the order of q as long as their words fit; after the first that does not, up to
-    `fills` later ones that still do, in the same order. Sources whose words are then still off by more than
-    NEAR, as those with few documents may be, make up to CHANGES changes, each the one that leaves the least
-    difference: a document more or less, or in the later half one for another. Rows without words or with
-    p = 0 are not taken.
+    Documents are taken in the order of q up to the first that does not fit. What is then still wanted is made up from the
+    histogram of sizes (`settled`); of a size whose number is changed, the documents first in that order are taken. Rows
+    without words or with p = 0 are not taken.
     """
     q = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p")))
     rows = rows.withColumn("q", q).withColumn("tie", F.struct("q", "id", "mark")).withColumn("part", F.shiftright("row", 33))
@@ -96,46 +168,15 @@ def pareto_sample(rows: DataFrame, fills: int = FILLS) -> DataFrame:
     rows = staged(rows.withColumn("c1", F.floor(scaled)).withColumn("c2", F.floor((scaled - F.floor(scaled)) * CELLS)), "mix-ranked")
     live = rows.where("q is not null and size > 0")
     asked = staged(live.groupBy("g").agg(F.sum(F.col("p") * F.col("size")).alias("want")), "mix-want")
-    edge, want = live, asked
-    for level in LEVELS:
-        want = staged(below(edge, level, want), "mix-cell")
-        edge = join_small(edge, want.select("g", f"at_{level}"), "g").where(F.col(level) == F.col(f"at_{level}")).drop(f"at_{level}")
-        if level == "c2":
-            edge = staged(edge, "mix-edge")
-        want = want.select("g", "want")
-    spot = F.struct("tie", "row")
-    # gap: words still asked for. Rows taken or left against the cut at `stop` are `changed`, the last one taken in rank order is `upto`.
-    state = edge.select("g", spot.alias("stop")).join(want, "g").join(asked.select("g", F.col("want").alias("all")), "g")
-    state = staged(state.select("g", "all", "stop", F.col("want").alias("gap"), F.col("stop").alias("upto"), F.array().cast("array<bigint>").alias("changed")), "mix-cut")
-    for turn in range(fills + CHANGES):
-        if turn < fills:  # a whole word less than the words asked for is as near as it gets
-            later = join_small(live, state.where("gap >= 1"), "g").where((spot > F.col("upto")) & (F.col("size") <= F.col("gap")))
-            best = later.groupBy("g").agg(F.min(F.struct("tie", "row", "size")).alias("best"))
-            after = F.col("gap") - F.col("best.size")
-        else:
-            open_rows = join_small(live, state.where(F.abs("gap") > NEAR * F.col("all")), "g").where(~F.array_contains("changed", F.col("row"))).withColumn("now", spot < F.col("stop"))
-            if turn < fills + CHANGES // 2:
-                left = F.col("gap") + F.when(F.col("now"), F.col("size")).otherwise(-F.col("size"))
-                tries = open_rows.select("g", "gap", left.alias("left"), F.array("row").alias("rows"))
-            else:
-                # The size that would make up for a taken document, among the sizes of those not taken: the next ones below and above.
-                fit = open_rows.withColumn("fit", F.col("size") + F.when(F.col("now"), F.col("gap")).otherwise(0))
-                order = Window.partitionBy("g").orderBy("fit", "now", "row")
-                other = F.when(~F.col("now"), F.struct("size", "row"))
-                near = F.array(F.last(other, True).over(order), F.first(other, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-                tries = fit.withColumn("near", near).where("now").select("g", "gap", "fit", "row", F.explode("near").alias("other")).where("other is not null").select("g", "gap", (F.col("fit") - F.col("other.size")).alias("left"), F.array("row", "other.row").alias("rows"))
-            best = tries.where(F.abs("left") < F.abs("gap")).groupBy("g").agg(F.min(F.struct(F.abs("left").alias("miss"), "rows", "left")).alias("best"))
-            after = F.col("best.left")
-        hit = F.col("best").isNotNull()
-        state = state.join(best, "g", "left").select(
-            "g", "all", "stop", F.when(hit, after).otherwise(F.col("gap")).alias("gap"),
-            F.when(hit, F.struct("best.tie", "best.row")).otherwise(F.col("upto")).alias("upto") if turn < fills else F.col("upto"),
-            F.when(hit, F.concat("changed", F.array("best.row") if turn < fills else F.col("best.rows"))).otherwise(F.col("changed")).alias("changed"),
-        )
-        state = staged(state, "mix-cut")
-    changed = F.coalesce(F.array_contains("changed", F.col("row")), F.lit(False))
-    taken = F.col("q").isNotNull() & (F.col("size") > 0) & ((F.col("stop").isNull() | (spot < F.col("stop"))) != changed)
-    return join_small(rows, state.select("g", "stop", "changed"), "g", "left").withColumn("taken", taken).drop("stop", "changed", "tie", "part", "c1", "c2")
+    cut = cuts(live, ["g"], F.col("size"), asked)
+    classes = settled(live, cut)
+    members = join_small(live, classes.select("g", "size"), ["g", "size"])
+    within = cuts(members, ["g", "size"], F.lit(1), classes.select("g", "size", F.col("m").cast("double").alias("want")))
+    own = staged(classes.join(within.select("g", "size", F.col("stop").alias("own_stop")), ["g", "size"], "left").select("g", "size", "own_stop", F.lit(True).alias("own")), "mix-own")
+    out = join_small(join_small(rows, cut.select("g", "stop"), "g", "left"), own, ["g", "size"], "left")
+    stop = F.when(F.col("own"), F.col("own_stop")).otherwise(F.col("stop"))
+    taken = F.col("q").isNotNull() & (F.col("size") > 0) & (stop.isNull() | (spot() < stop))
+    return out.withColumn("taken", taken).drop("stop", "own_stop", "own", "tie", "part", "c1", "c2")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, seed: int = 1) -> DataFrame:
