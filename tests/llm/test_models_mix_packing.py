@@ -132,7 +132,7 @@ def test_mix_takes_longer_documents_more_often(spark):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_mix_with_heavy_tails(spark, seed):
     """A few documents hold most words of a source: small ones make up what the large ones leave open, to the last that fits."""
-    shapes = {"a": [10] * 8000 + [30_000] * 3, "b": [10] * 3000 + [1500] * 60, "c": [7] * 50_000, "d": [40_000] * 2 + [3] * 9000, "e": [5000, 4000, 2500, 1200, 700, 330, 150, 90, 40, 20] * 3}
+    shapes = {"a": [10] * 8000 + [30_000] * 3, "b": [10] * 3000 + [1500] * 60, "c": [7] * 50_000, "d": [40_000] * 2 + [3] * 30_000, "e": [5000, 4000, 2500, 1200, 700, 330, 150, 90, 40, 20] * 3}
     rows = [(k, "w " * n, None, s) for k, (s, n) in enumerate((s, n) for s, own in shapes.items() for n in own)]
     got = mixing.mix(table(spark, rows), weights=(4.0, 2.0, 5.0), seed=seed).collect()
     taken, target = Counter(), {}
