@@ -1,21 +1,19 @@
 """Pages to rows: structured data, meta tags, text, tables, lists and links, and the crawl over a link graph.
 
-What stands in a page in a fixed form is taken with native expressions; only selectors need a parser, which
-runs in tasks over Arrow batches. Pages get a head with structured data and a table from the listing
+What stands in a page in a fixed form is taken with native expressions; selectors and tables go by the table
+of elements (`dom`). Pages get a head with structured data and a table from the listing
 table, so that the SQL twins can say from there what must come out.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry.functions.text import decode_entities, entities_sql, nz
 from harvestry.plans.views import listings, table
 from harvestry.registry import query
+from harvestry.sources.dom import detect_tables, scrape_ranked
 
 #: Blocks of structured data read from a page at most.
 MOST_BLOCKS = 20
@@ -175,103 +173,31 @@ def html_crawl_content(spark, d):
 @query(f"with {SHAPED} select page_id, 0 as table_index, 0 as row_index, ['Name', 'Column 2'] as headers, [trim(t), page_id::varchar] as cells from x", "listings")
 def html_detect_tables(spark, d):
     """Tables of two rows and columns or more: headers, named by number where blank, and rows."""
-    rows = rich(spark, d).select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("table_index", "body"))
-    lines = F.transform(F.regexp_extract_all("body", F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", " "))))
-    rows = rows.select("page_id", "table_index", lines.alias("lines")).where((F.size("lines") >= 2) & (F.size(F.get("lines", F.lit(0))) >= 2))
-    names = F.transform(F.get("lines", F.lit(0)), lambda c, i: F.when(c == "", F.concat(F.lit("Column "), (i + 1).cast("string"))).otherwise(c))
-    return rows.select("page_id", "table_index", names.alias("headers"), F.posexplode(F.slice("lines", 2, 1_000_000)).alias("row_index", "cells"))
+    return detect_tables(rich(spark, d))
 
 
 # Lists by selectors
 
 
-class Picker(HTMLParser):
-    """The items of a list selector, each with the elements in it: tag, attributes, text. Selectors are a tag, a class after a dot, or both."""
-
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self, selector: str):
-        super().__init__(convert_charrefs=True)
-        self.selector, self.open, self.items = selector, [], []
-
-    @staticmethod
-    def fits(selector: str, tag: str, attributes: dict) -> bool:
-        name, _, kind = selector.partition(".")
-        return (not name or name == tag) and (not kind or kind in (attributes.get("class") or "").split())
-
-    def handle_starttag(self, tag, attrs):
-        found = {"tag": tag, "attributes": dict(attrs), "text": []}
-        if self.items and any(x is self.items[-1][0] for x in self.open):
-            self.items[-1].append(found)
-        elif self.fits(self.selector, tag, found["attributes"]):
-            self.items.append([found])
-        if tag not in self.VOID:
-            self.open.append(found)
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k]["tag"] == tag:
-                del self.open[k:]
-                break
-
-    def handle_data(self, data):
-        for x in self.open:
-            x["text"].append(data)
-
-
-def value_of(item: list[dict], spec: str) -> str:
-    """`value@x` is the text x; `selector@attribute` an attribute; a selector the text of the first element that fits, the item itself included."""
-    selector, _, attribute = spec.partition("@")
-    if selector == "value":
-        return attribute
-    for x in item:
-        if Picker.fits(selector, x["tag"], x["attributes"]):
-            return " ".join(((x["attributes"].get(attribute) or "") if attribute else "".join(x["text"])).split())
-    return ""
-
-
-def scraped(pages: DataFrame, selector: str, fields: dict[str, list[str]]) -> DataFrame:
-    """page_id, position, and for each field its value and the rank of the selector that won: the first one with a value that is not blank."""
-
-    def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("page_id", "position", *fields, *(f"{f}_rank" for f in fields))}
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                picker = Picker(selector)
-                picker.feed(html or "")
-                for n, item in enumerate(picker.items):
-                    out["page_id"].append(page)
-                    out["position"].append(n)
-                    for f, ranked in fields.items():
-                        values = [value_of(item, s) for s in ranked]
-                        rank = next((i for i, v in enumerate(values) if v), None)
-                        out[f].append("" if rank is None else values[rank])
-                        out[f"{f}_rank"].append(rank)
-            kinds = [pa.int64(), pa.int32(), *[pa.string()] * len(fields), *[pa.int32()] * len(fields)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    schema = ", ".join(["page_id long", "position int", *(f"{f} string" for f in fields), *(f"{f}_rank int" for f in fields)])
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, schema)
-
-
 LIST_FIELDS = {"name": [".title", "a", "li"], "link": ["a@data-url", "a@href"], "kind": ["value@menu"]}
 ITEMS = "i as (select page_id, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 1)) as link, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 2)) as name, unnest(range(len(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 1)))) as position from pages)"
 
 
 @query(f"with {ITEMS} select page_id, position::int as position, trim(regexp_replace({entities_sql('name')}, '\\s+', ' ', 'g')) as name, {entities_sql('link')} as link, 'menu' as kind from i")
 def html_scrape_list(spark, d):
-    return scraped(table(spark, d, "pages"), "li", LIST_FIELDS).select("page_id", "position", "name", "link", "kind")
+    """The items of a selector, and for each field the first of its ranked selectors that gives something."""
+    return scrape_ranked(table(spark, d, "pages"), "nav > ul li", LIST_FIELDS).select("page_id", "position", "name", "link", "kind")
 
 
 @query(f"with {ITEMS} select 'name' as field, 1 as rank, count(*) filter (where name <> '') as wins from i union all select 'link', 1, count(*) filter (where link <> '') from i union all select 'kind', 0, count(*) from i")
 def agg_selector_wins(spark, d):
     """How often each ranked selector gave its field's value."""
-    rows = scraped(table(spark, d, "pages"), "li", LIST_FIELDS)
+    rows = scrape_ranked(table(spark, d, "pages"), "nav > ul li", LIST_FIELDS)
     ranks = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_rank").alias("rank")) for f in LIST_FIELDS]))
     return rows.select(ranks.alias("x")).select("x.*").where("rank is not null").groupBy("field", "rank").agg(F.count("*").alias("wins"))
 
 
-@query("select field, rank as best from (values ('name', 1), ('link', 1), ('kind', 0)) v(field, rank)")
+@query(f"with {ITEMS}, wins as (select 'name' as field, 1 as rank, count(*) filter (where name <> '') as wins from i union all select 'name', 2, count(*) filter (where name = '') from i union all select 'link', 1, count(*) filter (where link <> '') from i union all select 'kind', 0, count(*) from i) select field, arg_min(rank, (-wins, rank)) as best from wins where wins > 0 group by field")
 def agg_selector_promote(spark, d):
     """The selector of each field to be tried first: the one that won most."""
     wins = agg_selector_wins(spark, d)
