@@ -229,17 +229,22 @@ def crawl_scope_filter(spark, d):
     return table(spark, d, "pages").select("page_id", (scope & F.exists(include, lambda p: F.regexp(url, p)) & ~F.exists(exclude, lambda p: F.regexp(url, p))).alias("allowed"))
 
 
-ALLOW, DENY = ("/en/1", "/d*/2?"), ("/en", "/*/9*", "/private")
+ALLOW, DENY = ("/en/1", "/d*/2?"), ("/en", "/*/9*", "/private", "7$", "/fr/3*8$")
 
 
-@query("select page_id, path = '' or starts_with(path, '/en/1') or regexp_full_match(path, '/d.*/2.') or not (starts_with(path, '/en') or regexp_full_match(path, '/.*/9.*') or starts_with(path, '/private')) as allowed from (select page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path from pages)")
+@query("select page_id, path = '' or starts_with(path, '/en/1') or regexp_full_match(path, '/d.*/2.') or not (starts_with(path, '/en') or regexp_full_match(path, '/.*/9.*') or starts_with(path, '/private') or ends_with(path, '7') or regexp_full_match(path, '/fr/3.*8')) as allowed from (select page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path from pages)")
 def crawl_robots_filter(spark, d):
-    """Rules of a site: what is allowed goes first, then what is not, by prefix or with wild cards."""
+    """Rules of a site: what is allowed goes first, then what is not, by prefix, with wild cards, or, with a `$`, by the path's end; `/` alone forbids all."""
     path = F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1)
-    glob = lambda rule: F.concat(F.lit("^"), F.replace(F.replace(rule, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    return table(spark, d, "pages").select("page_id", robots_allow(path, F.array(*map(F.lit, ALLOW)), F.array(*map(F.lit, DENY))).alias("allowed"))
+
+
+def robots_allow(path: F.Column, allow: F.Column, deny: F.Column) -> F.Column:
+    """Whether rules let a path be visited; a path that is empty always."""
+    glob = lambda rule: F.concat(F.lit("^"), F.replace(F.replace(rule, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.when(rule.endswith("$"), "").otherwise("$"))
     hit = lambda rule: path.startswith(rule) | (rule.contains("*") & F.regexp(path, glob(rule)))
-    rules = lambda xs: F.array(*map(F.lit, xs))
-    return table(spark, d, "pages").select("page_id", ((path == "") | F.exists(rules(ALLOW), hit) | ~F.exists(rules(DENY), hit)).alias("allowed"))
+    ends = lambda rule: rule.endswith("$") & path.endswith(F.substring(rule, 1, F.length(rule) - 1))
+    return (path == "") | F.exists(allow, hit) | ~F.exists(deny, lambda r: (r == "/") | hit(r) | ends(r))
 
 
 @query("select distinct trim(url) as loc from pages where page_id % 20 < 10")
@@ -250,24 +255,6 @@ def crawl_sitemap(spark, d):
     return found.select(F.replace("loc", F.lit("&amp;"), F.lit("&")).alias("loc")).distinct()
 
 
-#: How far a crawl goes from its seeds.
-DEPTH = 4
-LINKS = "l as (select page_id as a, page_id * 2 + k as b from pages, (values (1), (2)) v(k) union all select page_id, page_id // 3 from pages)"
-
-
-@query(f"with recursive {LINKS}, w as (select page_id as id, 0 as depth from pages where page_id < 2 union select l.b, w.depth + 1 from w join l on l.a = w.id join pages p on p.page_id = l.b where w.depth < {DEPTH}) select id as page_id, min(depth) as depth from w group by id")
-def crawl_bfs(spark, d):
-    """Pages reached from the seeds and how far away they are. Each round's frontier meets the links and leaves out what was visited; there are DEPTH rounds, whatever the graph's size."""
-    ids = table(spark, d, "pages").select("page_id")
-    links = ids.select(F.col("page_id").alias("a"), F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.floor(F.col("page_id") / 3))).alias("b")).join(ids.select(F.col("page_id").alias("b")), "b")
-    seen = frontier = ids.where("page_id < 2").select("page_id", F.lit(0).alias("depth"))
-    for depth in range(1, DEPTH + 1):
-        new = links.join(frontier.select(F.col("page_id").alias("a")), "a").select(F.col("b").alias("page_id")).distinct()
-        frontier = new.join(seen.select("page_id"), "page_id", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 OFFSETS, PAGES = ("offset", "start", "startrow", "from"), ("page", "p", "pg")
 
 
