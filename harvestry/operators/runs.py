@@ -444,7 +444,8 @@ def agg_pass_rate(spark, d):
 DRIFT_SQL = """good as (select *, row_number() over (partition by robot_id order by run_id) as g from runs where status in ('success','completed') and rows_extracted > 0),
     base as (select r.run_id, r.robot_id, r.rows_extracted, (select quantile_disc(x.rows_extracted, 0.5) from (select g.rows_extracted from good g where g.robot_id = r.robot_id and g.run_id < r.run_id order by g.run_id desc limit 5) x) as baseline from runs r where r.status in ('success','completed')),
     drift as (select *, case when rows_extracted = 0 then 'zero_rows' when baseline is null or baseline < 5 then 'healthy' when rows_extracted >= floor(baseline * 0.5) then 'healthy' else 'drop' end as kind from base),
-    streak as (select *, case when kind <> 'drop' then kind when coalesce(lag(kind, 1) over w = 'drop', false) and coalesce(lag(kind, 2) over w = 'drop', false) then 'escalated' else 'soft_drop' end as outcome from drift window w as (partition by robot_id order by run_id))"""
+    since as (select *, count(*) filter (where kind <> 'drop') over (partition by robot_id order by run_id) as island from drift),
+    streak as (select *, case when kind <> 'drop' then kind when count(*) filter (where kind = 'drop') over (partition by robot_id, island order by run_id) % 3 = 0 then 'escalated' else 'soft_drop' end as outcome from since)"""
 
 
 def baselines(log: DataFrame, back: int = 5) -> DataFrame:
@@ -461,14 +462,12 @@ def baselines(log: DataFrame, back: int = 5) -> DataFrame:
 
 
 def drift(log: DataFrame, ratio: float = 0.5, least: int = 5, streak: int = 3) -> DataFrame:
-    """outcome of each finished run: healthy, zero_rows, soft_drop, or escalated after `streak` drops in a row."""
+    """outcome of each finished run: healthy, zero_rows, soft_drop, or escalated: a drop after `streak` - 1 soft ones. An escalated drop is no soft one: a row of drops escalates once in `streak`."""
     kind = F.when(F.col("rows_extracted") == 0, "zero_rows").when(F.col("baseline").isNull() | (F.col("baseline") < least), "healthy").when(F.col("rows_extracted") >= F.floor(F.col("baseline") * ratio), "healthy").otherwise("drop")
     w = Window.partitionBy("robot_id").orderBy("run_id")
-    rows = baselines(log).withColumn("kind", kind)
-    before = F.lit(True)
-    for k in range(1, streak):
-        before = before & F.coalesce(F.lag("kind", k).over(w) == "drop", F.lit(False))
-    return rows.withColumn("outcome", F.when(F.col("kind") != "drop", F.col("kind")).when(before, "escalated").otherwise("soft_drop"))
+    rows = baselines(log).withColumn("kind", kind).withColumn("island", F.count_if(F.col("kind") != "drop").over(w))
+    nth = F.count_if(F.col("kind") == "drop").over(Window.partitionBy("robot_id", "island").orderBy("run_id"))
+    return rows.withColumn("outcome", F.when(F.col("kind") != "drop", F.col("kind")).when(nth % streak == 0, "escalated").otherwise("soft_drop"))
 
 
 @query(f"with {DRIFT_SQL} select run_id, baseline from base", "runs")

@@ -7,6 +7,8 @@ numbers for each key; the rows of a key that one batch brings are put in order b
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,54 +76,47 @@ def st_run_terminal(spark, d):
 # Folds with a state for each key
 
 
-#: Failures in a window that open a breaker, the window, and how long it stays open.
-FAILURES, WINDOW_MS, COOL_MS = 3, 6 * HOUR, 12 * HOUR
+#: A host's breaker: failures in a window that open it, the window, and how long it stays open. The service's own numbers are 5, two minutes and ten minutes.
+FAILURES, WINDOW_MS, COOL_MS = 3, 10 * DAY, 1 * DAY
 
 
-def breaker(state: tuple, status: str, at: int) -> tuple[tuple, str]:
-    """(failures, since, open until) after a run, and what the breaker did with it. A success takes one failure back."""
-    failures, since, until = state
-    if at < until:
-        return state, "refused"
+def breaker(state: list, status: str, at: int, rows: int, failures: int = FAILURES, window: int = WINDOW_MS, cool: int = COOL_MS) -> tuple[list, str]:
+    """[failures, window's start, open until]: a failure counts, open or not, and opens the breaker as the last of `failures` within a window; a success takes one back and leaves the window as it is."""
+    n, since, until = state or [0, at, 0]
     if status == "failed":
-        if not failures or at - since > WINDOW_MS:
-            failures, since = 0, at
-        failures += 1
-        if failures >= FAILURES:
-            return (0, at, at + COOL_MS), "opened"
-        return (failures, since, until), "counted"
-    if status in ("success", "completed"):
-        return (max(0, failures - 1), since, until), "passed"
-    return state, "passed"
+        if at - since > window:
+            n, since = 0, at
+        n += 1
+        if n >= failures:
+            return [0, at, at + cool], "opened"
+    elif status in ("success", "completed"):
+        n = max(0, n - 1)
+    return [n, since, until], "open" if at < until else "closed"
 
 
-#: Failures in a row that raise a tier, the dearest tier, and when a raised one is tried lower again.
+#: Failures of a host, all in all, that raise its tier, the dearest tier, and when a lower one is tried again.
 RAISE, MOST_TIER, AGAIN_MS = 3, 3, 30 * DAY
 
 
-def tier(state: tuple, status: str, at: int) -> tuple[tuple, str]:
-    """(tier, failures in a row, raised at) after a run, and the tier that it used."""
-    now, failures, raised = state
-    if now > 1 and at - raised >= AGAIN_MS:
-        now, failures, raised = now - 1, 0, at
-    used = now
+def tier(state: list, status: str, at: int, rows: int, raised_by: int = RAISE, most: int = MOST_TIER, again: int = AGAIN_MS) -> tuple[list, str]:
+    """[tier, failures, last success]: a run uses the learned tier, or the one below if the last success is longer ago than `again` or there was none. A success stores the tier that worked (`completed`: the next dearer one); a failure is counted for good, stores the tier that was tried and, from the third on, the next."""
+    learned, failures, success = state or [1, 0, -1]
+    used = learned - 1 if learned > 1 and (success < 0 or at - success > again) else learned
     if status == "failed":
         failures += 1
-        if failures >= RAISE and now < MOST_TIER:
-            now, failures, raised = now + 1, 0, at
-    elif status in ("success", "completed"):
-        failures = 0
-    return (now, failures, raised), str(used)
+        return [min(most, used + 1) if failures >= raised_by else used, failures, success], str(used)
+    if status in ("success", "completed"):
+        return [min(most, used + (status == "completed")), failures, at], str(used)
+    return [learned, failures, success], str(used)
 
 
 #: Attempts before a listing counts as failed, and how long a claim holds.
 ATTEMPTS, LEASE_MS = 4, 15 * 60_000
 
 
-def listing_state(state: tuple, status: str, at: int) -> tuple[tuple, str]:
-    """(state, attempts, lease until) of a listing after an event: queued -> enriching -> ready, partial or, after ATTEMPTS, failed. A claim whose lease has run out is queued again first."""
-    names = ("queued", "enriching", "ready", "partial", "failed", "expired")
-    now, attempts, lease = names[state[0]], state[1], state[2]
+def listing_state(state: list, status: str, at: int, rows: int) -> tuple[list, str]:
+    """[state, attempts, lease until] of a listing after an event: queued -> enriching -> ready, partial or, after ATTEMPTS, failed. A claim whose lease has run out is queued again first."""
+    now, attempts, lease = state or ["queued", 0, 0]
     if now == "enriching" and lease < at:
         now = "queued"
     if status == "running" and now in ("queued", "partial"):
@@ -132,44 +127,108 @@ def listing_state(state: tuple, status: str, at: int) -> tuple[tuple, str]:
         now = "failed" if attempts >= ATTEMPTS else "queued"
     elif status == "aborted" and now in ("queued", "partial"):
         now = "expired"
-    return (names.index(now), attempts, lease), now
-
-
-def drift(state: tuple, status: str, at: int) -> tuple[tuple, str]:
-    """(failures in a row, runs, longest row of failures) of a robot, and whether it drifts."""
-    streak, n, most = state
-    streak = streak + 1 if status == "failed" else 0 if status in ("success", "completed") else streak
-    return (streak, n + 1, max(most, streak)), "drifting" if streak >= 3 else "steady"
-
-
-FOLDS = {"st_circuit_breaker": (breaker, (0, 0, 0)), "st_tier_learning": (tier, (1, 0, 0)), "st_status_machine": (listing_state, (0, 0, 0)), "st_drift_stream": (drift, (0, 0, 0))}
-
-
-def folded(stream: DataFrame, step, start: tuple) -> DataFrame:
-    """run_id, robot_id, outcome: `step` applied to each robot's runs by time, with its three numbers kept between batches."""
+    return [now, attempts, lease], now
+
+
+#: A run drifts if its rows are under this part of the baseline, which must be so many rows; a row of drops escalates at the third.
+DROP_RATIO, LEAST_BASELINE, STREAK, GOOD_RUNS = 0.5, 5, 3, 5
+
+
+def drift(state: list, status: str, at: int, rows: int) -> tuple[list, str]:
+    """[rows of the last good runs, drops in a row] and the outcome of a finished run against the lower median of those rows."""
+    good, drops = state or [[], 0]
+    if status not in ("success", "completed"):
+        return [good, drops], "unfinished"
+    baseline = sorted(good)[(len(good) - 1) // 2] if good else None
+    kind = "zero_rows" if rows == 0 else "healthy" if baseline is None or baseline < LEAST_BASELINE or rows >= int(baseline * DROP_RATIO) else "drop"
+    drops = drops + 1 if kind == "drop" else 0
+    outcome = kind if kind != "drop" else "escalated" if drops % STREAK == 0 else "soft_drop"
+    return [[*good, rows][-GOOD_RUNS:] if rows > 0 else good, drops], outcome
+
+
+#: Runs a minute that a robot may start, and how many at once after a rest.
+RATE_PER_MIN, CAPACITY = 1 / 720, 2.0
+
+
+def bucket(state: list, status: str, at: int, rows: int, rate: float = RATE_PER_MIN, capacity: float = CAPACITY) -> tuple[list, str]:
+    """[tokens, last refill]: each run takes a token if there is a whole one, after what the time since has added."""
+    tokens, last = state or [capacity, at]
+    tokens, last = (min(capacity, tokens + (at - last) / 60_000 * rate), at) if at > last else (tokens, last)
+    return [tokens - 1 if tokens >= 1 else tokens, last], "taken" if tokens >= 1 else "refused"
+
+
+FOLDS = {"st_circuit_breaker": breaker, "st_tier_learning": tier, "st_status_machine": listing_state, "st_drift_stream": drift, "st_token_bucket": bucket}
+#: The runs of each robot in order, numbered: what the twins walk over.
+WALK = "e as (select run_id, robot_id, status, at_ms, coalesce(rows_extracted, 0) as rows, row_number() over (partition by robot_id order by at_ms, run_id) as i from runs where robot_id is not null and at_ms is not null)"
+OK = "e.status in ('success', 'completed')"
+
+
+def walked(columns: str, start: str, step: str, outcome: str, before: str = "") -> str:
+    """SQL of a fold: `start` is the state before a robot's first run (over e), `step` the state after a run (over w and e); a walk of one run at a time."""
+    names = columns.split()
+    pairs = lambda text: ", ".join(f"{x} as {n}" for n, x in zip(names, text.split(" | "), strict=True))
+    first = f"select e.robot_id, e.run_id, e.i, {{}} from e join (select robot_id, {pairs(start)} from e where i = 1) w on w.robot_id = e.robot_id where e.i = 1"
+    then = "select e.robot_id, e.run_id, e.i, {} from w join e on e.robot_id = w.robot_id and e.i = w.i + 1"
+    body = f"{pairs(step)}, {outcome} as outcome"
+    return f"with recursive {WALK}, w as ({first.format(body)} union all {then.format(body)}) select run_id, robot_id, outcome from w"
+
+
+_late = f"e.at_ms - w.since > {WINDOW_MS}"
+_n = f"(case when {_late} then 0 else w.n end)"
+_used = f"(case when w.tier > 1 and (w.success < 0 or e.at_ms - w.success > {AGAIN_MS}) then w.tier - 1 else w.tier end)"
+_now = "(case when w.now = 'enriching' and w.lease < e.at_ms then 'queued' else w.now end)"
+_next = f"""case when e.status = 'running' and {_now} in ('queued', 'partial') then 'enriching' when e.status = 'success' and {_now} = 'enriching' then 'ready' when e.status = 'completed' and {_now} = 'enriching' then 'partial'
+    when e.status = 'failed' and {_now} = 'enriching' then case when w.attempts >= {ATTEMPTS} then 'failed' else 'queued' end when e.status = 'aborted' and {_now} in ('queued', 'partial') then 'expired' else {_now} end"""
+_claims = f"(e.status = 'running' and {_now} in ('queued', 'partial'))"
+_tokens = f"least({CAPACITY}::double, w.tokens + greatest(0, e.at_ms - w.last)::double / 60000 * {RATE_PER_MIN!r}::double)"
+_base = "list_sort(w.good)[(len(w.good) + 1) // 2]"
+_kind = f"(case when e.rows = 0 then 'zero_rows' when len(w.good) = 0 or {_base} < {LEAST_BASELINE} or e.rows >= floor({_base} * {DROP_RATIO}) then 'healthy' else 'drop' end)"
+TWINS = {
+    "st_circuit_breaker": walked(
+        "n since until", "0::bigint | at_ms | 0::bigint",
+        f"case when e.status = 'failed' then case when {_n} + 1 >= {FAILURES} then 0 else {_n} + 1 end when {OK} then greatest(0, w.n - 1) else w.n end"
+        f" | case when e.status = 'failed' and ({_n} + 1 >= {FAILURES} or {_late}) then e.at_ms else w.since end | case when e.status = 'failed' and {_n} + 1 >= {FAILURES} then e.at_ms + {COOL_MS} else w.until end",
+        f"case when e.status = 'failed' and {_n} + 1 >= {FAILURES} then 'opened' when e.at_ms < w.until then 'open' else 'closed' end"),
+    "st_tier_learning": walked(
+        "tier failures success", "1::bigint | 0::bigint | -1::bigint",
+        f"case when e.status = 'failed' then case when w.failures + 1 >= {RAISE} then least({MOST_TIER}, {_used} + 1) else {_used} end when e.status = 'success' then {_used} when e.status = 'completed' then least({MOST_TIER}, {_used} + 1) else w.tier end"
+        f" | w.failures + (e.status = 'failed')::bigint | case when {OK} then e.at_ms else w.success end",
+        f"{_used}::varchar"),
+    "st_status_machine": walked(
+        "now attempts lease", "'queued' | 0::bigint | 0::bigint",
+        f"{_next} | w.attempts + {_claims}::bigint | case when {_claims} then e.at_ms + {LEASE_MS} else w.lease end", _next),
+    "st_drift_stream": walked(
+        "good drops", "[]::bigint[] | 0::bigint",
+        f"case when {OK} and e.rows > 0 then list_append(w.good, e.rows::bigint)[-{GOOD_RUNS}:] else w.good end | case when not {OK} then w.drops when {_kind} = 'drop' then w.drops + 1 else 0 end",
+        f"case when not {OK} then 'unfinished' when {_kind} <> 'drop' then {_kind} when (w.drops + 1) % {STREAK} = 0 then 'escalated' else 'soft_drop' end"),
+    "st_token_bucket": walked(
+        "tokens last", f"{CAPACITY}::double | at_ms", f"case when {_tokens} >= 1 then {_tokens} - 1 else {_tokens} end | greatest(w.last, e.at_ms)", f"case when {_tokens} >= 1 then 'taken' else 'refused' end"),
+}
+
+
+def folded(stream: DataFrame, step) -> DataFrame:
+    """run_id, robot_id, outcome: `step` applied to each robot's runs by time, with its state, as JSON, kept between batches."""
 
     def run(key, parts, state: GroupState):
-        held = state.get if state.exists else start
+        held = json.loads(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values(["at_ms", "run_id"])
         outcomes = []
-        for status, at in zip(rows["status"], rows["at_ms"], strict=True):
-            held, outcome = step(tuple(held), status, int(at))
+        for status, at, found in zip(rows["status"], rows["at_ms"], rows["found"], strict=True):
+            held, outcome = step(held, status, int(at), int(found))
             outcomes.append(outcome)
-        state.update(tuple(int(x) for x in held))
+        state.update((json.dumps(held),))
         yield pd.DataFrame({"run_id": rows["run_id"], "robot_id": rows["robot_id"], "outcome": outcomes})
 
-    rows = stream.where("robot_id is not null and at_ms is not null").select("run_id", "robot_id", "status", "at_ms")
-    return rows.groupBy("robot_id").applyInPandasWithState(run, "run_id long, robot_id long, outcome string", "a long, b long, c long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.where("robot_id is not null and at_ms is not null").select("run_id", "robot_id", "status", "at_ms", F.coalesce(F.floor("value"), F.lit(0)).cast("long").alias("found"))
+    return rows.groupBy("robot_id").applyInPandasWithState(run, "run_id long, robot_id long, outcome string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def _register(name: str) -> None:
-    step, start = FOLDS[name]
-
     def run(spark, d):
-        return drained(folded(arriving(spark, d), step, start), fresh_path(spark, "stream-fold"))
+        return drained(folded(arriving(spark, d), FOLDS[name]), fresh_path(spark, "stream-fold"))
 
-    run.__name__, run.__doc__ = name, step.__doc__
-    query()(run)
+    run.__name__, run.__doc__ = name, FOLDS[name].__doc__
+    query(TWINS[name], "runs")(run)
 
 
 for _name in FOLDS:

@@ -1,34 +1,13 @@
-"""Stateful streams against a plain fold over each robot's runs; streams that are started again."""
+"""Rules of stateful streams on hand-worked runs; streams that are started again. The streams against walks in SQL are in test_queries."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pytest
 from pyspark.sql import functions as F
 
-from harvestry.plans.views import runs
 from harvestry.sources.storage import fresh_path
 from harvestry.streaming import jobs
 
 
-@pytest.mark.parametrize("name", sorted(jobs.FOLDS))
-def test_folds_match_a_plain_loop(name, spark, sf):
-    step, start = jobs.FOLDS[name]
-    by_robot = defaultdict(list)
-    for r in runs(spark, sf).select("run_id", "robot_id", "status", "at_ms").collect():
-        if r.robot_id is not None and r.at_ms is not None:
-            by_robot[r.robot_id].append((r.at_ms, r.run_id, r.status))
-    want = {}
-    for own in by_robot.values():
-        state = start
-        for at, run_id, status in sorted(own):
-            state, want[run_id] = step(state, status, at)
-    stream = jobs.folded(jobs.arriving(spark, sf), step, start)
-    got = {r.run_id: r.outcome for r in jobs.drained(stream, fresh_path(spark, "test-fold")).collect()}
-    assert got == want and len(set(want.values())) > 1
-
-
 def test_state_is_kept_between_batches(spark, tmp_path):
     """Two files, one a batch: the second goes on from the first one's state."""
     where = tmp_path / "events.parquet"
@@ -37,23 +16,44 @@ def test_state_is_kept_between_batches(spark, tmp_path):
     path = fresh_path(spark, "test-kept")
     for part in ("event_id <= 2", "event_id > 2"):
         frame.where(part).coalesce(1).write.mode("append").parquet(str(where))
-        out = jobs.drained(jobs.folded(jobs.arriving(spark, str(tmp_path)), *jobs.FOLDS["st_drift_stream"]), path)
-    assert {r.run_id: r.outcome for r in out.collect()} == {1: "steady", 2: "steady", 3: "drifting", 4: "drifting"}
+        out = jobs.drained(jobs.folded(jobs.arriving(spark, str(tmp_path)), jobs.breaker), path)
+    assert {r.run_id: r.outcome for r in out.collect()} == {1: "closed", 2: "closed", 3: "opened", 4: "open"}
 
 
-def test_a_breaker_opens_refuses_and_closes():
-    state, said = (0, 0, 0), []
-    for at, status in ((1, "failed"), (2, "success"), (3, "failed"), (4, "failed"), (5, "failed"), (6, "success"), (5 + jobs.COOL_MS, "success")):
-        state, outcome = jobs.breaker(state, status, at)
+def outcomes(step, runs, **settings):
+    state, said = [], []
+    for at, status, *rows in runs:
+        state, outcome = step(state, status, at, *(rows or [1]), **settings)
         said.append(outcome)
-    assert said == ["counted", "passed", "counted", "counted", "opened", "refused", "passed"]
+    return said, state
+
+
+def test_a_breaker_counts_on_while_open_and_keeps_its_window():
+    said, _ = outcomes(jobs.breaker, [(1, "failed"), (2, "success"), (3, "failed"), (4, "failed"), (5, "failed"), (6, "failed"), (7, "success"), (105, "running"), (110, "success")], failures=3, window=1000, cool=100)
+    assert said == ["closed", "closed", "closed", "closed", "opened", "open", "open", "closed", "closed"]
+    hour = 3_600_000  # a success that brings the count to nothing does not begin a new window
+    said, _ = outcomes(jobs.breaker, [(0, "failed"), (1, "success"), (5 * hour, "failed"), (int(6.5 * hour), "failed"), (int(6.6 * hour), "failed")], failures=3, window=6 * hour, cool=12 * hour)
+    assert said == ["closed"] * 5
+
+
+def test_tiers_rise_by_all_failures_and_fall_after_a_rest():
+    day = 86_400_000
+    said, state = outcomes(jobs.tier, [(1, "failed"), (2, "success"), (3, "failed"), (4, "success"), (5, "failed"), (6, "success"), (7, "failed"), (40 * day, "running"), (41 * day, "success"), (42 * day, "completed")])
+    assert said == ["1", "1", "1", "1", "1", "2", "2", "2", "2", "2"] and state[0] == 3
+    assert outcomes(jobs.tier, [(1, "failed"), (2, "failed"), (3, "failed"), (4, "running")])[0][-1] == "1"  # never a success: tried lower again
+
+
+def test_a_row_of_drops_escalates_once_in_three():
+    runs = [(i, "success", n) for i, n in enumerate([100, 90, 110, 10, 9, 8, 7, 100, 0, 0])] + [(10, "failed", 0), (11, "completed", 100)]
+    assert outcomes(jobs.drift, runs)[0] == ["healthy", "healthy", "healthy", "soft_drop", "soft_drop", "escalated", "healthy", "healthy", "zero_rows", "zero_rows", "unfinished", "healthy"]
+
+
+def test_a_bucket_fills_with_time():
+    said, _ = outcomes(jobs.bucket, [(0, "x"), (1, "x"), (2, "x"), (60_002, "x"), (60_003, "x"), (600_000, "x"), (600_000, "x"), (600_000, "x")], rate=1.0, capacity=2.0)
+    assert said == ["taken", "taken", "refused", "taken", "refused", "taken", "taken", "refused"]
 
 
 def test_a_listing_ends_after_its_attempts():
-    state, said = (0, 0, 0), []
-    for n in range(jobs.ATTEMPTS):
-        for status in ("running", "failed"):
-            state, outcome = jobs.listing_state(state, status, 1000 * n + 1)
-            said.append(outcome)
-    assert said == ["enriching", "queued"] * (jobs.ATTEMPTS - 1) + ["enriching", "failed"]
-    assert jobs.listing_state((1, 1, 5), "running", 6)[1] == "enriching" and jobs.listing_state((1, 1, 5), "success", 6)[1] == "queued"
+    runs = [(1000 * n + 1, status) for n in range(jobs.ATTEMPTS) for status in ("running", "failed")]
+    assert outcomes(jobs.listing_state, runs)[0] == ["enriching", "queued"] * (jobs.ATTEMPTS - 1) + ["enriching", "failed"]
+    assert jobs.listing_state(["enriching", 1, 5], "running", 6, 1)[1] == "enriching" and jobs.listing_state(["enriching", 1, 5], "success", 6, 1)[1] == "queued"
