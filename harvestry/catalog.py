@@ -1,6 +1,6 @@
 """Every query of the library: importing the operator modules registers them."""
 
-from harvestry.operators import canonical, fields, helpers, listings, more, records, rows, runs  # noqa: F401
+from harvestry.operators import canonical, fields, helpers, listings, more, planner, records, rows, runs, workflow  # noqa: F401
 from harvestry.sources import crawl, pages, payloads, scrape, sinks  # noqa: F401
 from harvestry.streaming import jobs  # noqa: F401
 from harvestry.registry import QUERIES, SQL
