@@ -30,31 +30,51 @@ def raw_fields(spark, d):
     return table(spark, d, "pages").select("page_id", pick(F.col("page_id"), *SALARIES).alias("salary"), pick(F.floor(F.col("page_id") / 2), *PLACES).alias("location"))
 
 
-def _address_sql(c: str) -> str:
-    part = lambda pattern, i: f"regexp_extract({c}, '{_q(pattern)}', {i})"
-    return f"""case when {part(C.WITH_ZIP, 2)} in ({_codes}) then trim({part(C.WITH_ZIP, 1)}) || ', ' || {part(C.WITH_ZIP, 2)}
-        when {part(C.CITY_STATE, 2)} in ({_codes}) and not regexp_matches(trim({part(C.CITY_STATE, 1)}), '^[A-Z]{{2,5}}\\d*') and not regexp_matches(trim({part(C.CITY_STATE, 1)}), '{C.STREET}') then trim({part(C.CITY_STATE, 1)}) || ', ' || {part(C.CITY_STATE, 2)} end"""
+_list = lambda xs: "[" + ", ".join(f"'{_q(x)}'" for x in xs) + "]"
+_words = lambda c: f"string_split_regex(lower({c}), '[^a-z0-9_]+')"
+_street = lambda c: f"list_has_any({_words(c)}, {_list(C.STREETS)})"
+_spaced = lambda c: f"string_split_regex({c}, '\\s+')"
+_number = lambda c: f"(len(list_filter({_spaced(c)}, lambda w, i: regexp_matches(w, '(^|[^0-9A-Za-z_])[0-9]{{1,6}}$') and regexp_matches(coalesce({_spaced(c)}[i + 1], ''), '^[A-Za-z]'))) > 0 or len(list_filter({_words(c)}, lambda w: regexp_full_match(w, '[0-9]{{5}}'))) > 0)"
 
 
+def _address_sql(c: str) -> str:
+    """The first town and code of the parts of an address, by rows of parts."""
+    name, at = _q(C.NAME_END), "string_split({}, ',')".format(c)
+    part = lambda i: f"coalesce(trim({at}[{i}]), '')"
+    every = f"range(1, len({at}) + 1)"
+    zipped = f"list_filter({every}, lambda i: i >= 3 and (regexp_matches({part('i')}, '^[A-Z]{{2}} *[0-9]{{5}}') or (regexp_full_match({part('i')}, '[A-Z]{{2}}') and regexp_matches({part('i + 1')}, '^[0-9]{{5}}'))) and regexp_matches({part('i - 1')}, '^{name}'))[1]"
+    coded = f"list_filter({every}, lambda i: i >= 2 and regexp_matches({part('i')}, '{C.CODE}') and regexp_matches({part('i - 1')}, '{name}'))[1]"
+    town = f"regexp_extract({part(f'{coded} - 1')}, '{name}')"
+    return f"""case when left({part(zipped)}, 2) in ({_codes}) then {part(f'{zipped} - 1')} || ', ' || left({part(zipped)}, 2)
+        when left({part(coded)}, 2) in ({_codes}) and not regexp_matches({town}, '^[A-Z]{{2}}') and not {_street(town)} then {town} || ', ' || left({part(coded)}, 2) end"""
+
+
+_country = "coalesce(list_filter({}, lambda x: ends_with(rtrim(lower(v)), x))[1], '')".format(_list(C.COUNTRIES))
 PLACE_SQL = f"""raw as (select page_id, {_salary} as salary, {_place} as location from pages),
     parts as (select page_id, i, string_split_regex(trim(location), '\\s*\\|\\s*')[i] as p from raw, lateral (select unnest(range(1, len(string_split_regex(trim(location), '\\s*\\|\\s*')) + 1)) as i)),
-    v1 as (select page_id, i, p, trim(regexp_replace({entities_sql('p')}, '{C.SITE_CODE}', '')) as v from parts),
-    v2 as (select *, trim(regexp_replace(regexp_replace(regexp_replace(v, '{C.COUNTRY}', ''), '\\s+,', ',', 'g'), ',\\s*$', '')) as s from v1),
-    v3 as (select *, trim(regexp_extract(s, '{C.NAMED}', 1)) as city, trim(regexp_extract(s, '{C.NAMED}', 2)) as region from v2),
-    v4 as (select page_id, i, coalesce(case when regexp_matches(v, '{C.STREET}') or regexp_matches(v, '{C.NUMBERED}') then {_address_sql('v')} end,
-        case when lower(region) in ({_names}) then city || ', ' || region when upper(region) in ({_codes}) then city || ', ' || upper(region) end,
-        case when length(s) > {C.LONGEST} or regexp_matches(s, '{C.STREET}') then {_address_sql('p')} end, s) as one from v3),
+    v0 as (select page_id, i, p, trim({entities_sql('p')}) as e from parts),
+    v1 as (select page_id, i, p, case when contains(e, ':') and regexp_full_match(trim(split_part(e, ':', 1)), '[A-Za-z]{{2,6}}[0-9]{{1,4}}') then trim(e[instr(e, ':') + 1:]) else e end as v from v0),
+    v2 as (select *, trim(regexp_replace(regexp_replace(case when {_country} = '' then v else regexp_replace(left(rtrim(v), length(rtrim(v)) - length({_country})), ',?\\s*$', '') end, '\\s+,', ',', 'g'), ',\\s*$', '')) as s from v1),
+    v3 as (select *, trim(string_split(s, ',')[-1]) as region, trim(array_to_string(string_split(s, ',')[:-2], ',')) as city from v2),
+    v4 as (select page_id, i, coalesce(case when {_street('v')} or {_number('v')} then {_address_sql('v')} end,
+        case when city <> '' and lower(region) in ({_names}) then city || ', ' || region when city <> '' and upper(region) in ({_codes}) then city || ', ' || upper(region) end,
+        case when length(s) > {C.LONGEST} or {_street('s')} then {_address_sql('p')} end, s) as one from v3),
     v5 as (select page_id, min(i) as i, arg_min(one, i) as one from v4 where one <> '' group by page_id, lower(one)),
     placed as (select page_id, salary, coalesce(place, '') as place from raw left join (select page_id, string_agg(one, ' · ' order by i) as place from v5 group by page_id) using (page_id))"""
-_amount = lambda c: f"regexp_replace(regexp_replace({c}, '\\s+', '', 'g'), '\\.0*$|(\\.\\d*[1-9])0+$', '\\1')"
+_bare = f"regexp_replace(regexp_extract(piece, '{C.NUMBER}'), '\\s', '', 'g')"
+_dear = f"(list_has_any(list_concat({_words('place')}, list_transform({_words('place')}, lambda w, i: w || coalesce(' ' || {_words('place')}[i + 1], ''))), {_list(C.DEAR_PLACES)}) or list_has_any(string_split_regex(lower(place), '[,\\s]+'), {_list(C.DEAR_CODES)}))"
+_unit = "case " + " ".join(f"when {' or '.join(f'starts_with(u, {chr(39)}{w}{chr(39)})' for w in ws)} then ' / {n}'" for n, ws in C.UNITS) + " else '' end"
 SALARY_SQL = f"""{PLACE_SQL}, said as (select *, trim(coalesce(salary, '')) as t from placed),
-    m as (select *, regexp_extract_all(t, '{C.RANGE}', 0) as ms, string_split_regex(t, '{C.RANGE}') as gs from said),
-    c as (select page_id, i, place, ms[i] as one, lower(right(array_to_string(list_transform(range(1, i), lambda j: gs[j] || ms[j]), '') || gs[i], {C.BEFORE}) || ms[i]) as ctx from m, lateral (select unnest(range(1, len(ms) + 1)) as i)),
-    chosen as (select page_id, arg_min(one, i + case when regexp_matches(place, '{C.DEAR}') and regexp_matches(ctx, '{C.DEAR_BAND}') then 0 else 1000 end) as r from c group by page_id),
-    paid as (select page_id, place, case when r is not null then {_amount(f"regexp_extract(r, '{C.RANGE}', 1)")} || ' – ' || {_amount(f"regexp_extract(r, '{C.RANGE}', 2)")}
-        when regexp_extract(t, '{C.SINGLE}', 1) <> '' then {_amount(f"regexp_extract(t, '{C.SINGLE}', 1)")} || case lower(regexp_extract(t, '{C.SINGLE}', 2)) when 'year' then ' / year' when 'yr' then ' / year' when 'annum' then ' / year'
-            when 'hour' then ' / hour' when 'hr' then ' / hour' when 'month' then ' / month' when 'mo' then ' / month' else '' end
-        when length(t) <= {C.PROSE} then t else '' end as pay from said left join chosen using (page_id))"""
+    cutted as (select page_id, place, t, unnest(regexp_extract_all(t, '{C.PIECES}')) as piece, unnest(range(1, len(regexp_extract_all(t, '{C.PIECES}')) + 1)) as i from said),
+    tokens as (select *, case when contains({_bare}, '.') then rtrim(rtrim({_bare}, '0'), '.') else {_bare} end as money, piece[length(regexp_extract(piece, '{C.NUMBER}')) + 1:] as after,
+        sum(length(piece)) over (partition by page_id order by i) - length(piece) as seen, sum(length(piece)) over (partition by page_id) as total from cutted),
+    linked as (select *, lead(money) over w as upper_end, money <> '' and lower(trim(after)) in ('{"', '".join(C.JOINS)}') and coalesce(lead(money) over w, '') <> '' as linked from tokens window w as (partition by page_id order by i)),
+    island as (select *, i - row_number() over (partition by page_id order by i) as island from linked where linked),
+    begun as (select *, row_number() over (partition by page_id, island order by i) % 2 = 1 as begins from island),
+    ranges as (select page_id, i, place, money || ' – ' || upper_end as r, regexp_replace(lower(right(left(t, (length(t) - total + seen)::bigint), {C.BEFORE})), '\\s', '', 'g') as near from begun where begins),
+    chosen as (select page_id, arg_min(r, i + case when {_dear} and len(list_filter({_list(C.DEAR_WORDS)}, lambda x: contains(near, x))) > 0 then 0 else 1000 end) as r from ranges group by page_id),
+    alone as (select page_id, arg_min(money, i) as money, regexp_replace(lower(ltrim(arg_min(after, i))), '^per\\s+', '') as u from tokens where money <> '' group by page_id),
+    paid as (select page_id, place, case when r is not null then r when money is not null then money || {_unit} when length(t) <= {C.PROSE} then t else '' end as pay from said left join chosen using (page_id) left join alone using (page_id))"""
 
 
 @query(f"with {PLACE_SQL} select page_id, place from placed")
