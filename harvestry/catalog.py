@@ -1,7 +1,7 @@
 """Every query of the library: importing the operator modules registers them."""
 
 from harvestry.operators import canonical, deep, fields, helpers, listings, more, planner, records, rows, runs, workflow  # noqa: F401
-from harvestry.sources import crawl, markdown, pages, payloads, providers, scrape, sinks  # noqa: F401
+from harvestry.sources import aggregator, crawl, markdown, pages, payloads, providers, scrape, sinks  # noqa: F401
 from harvestry.streaming import jobs  # noqa: F401
 from harvestry.registry import QUERIES, SQL
 

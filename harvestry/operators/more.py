@@ -158,24 +158,6 @@ def fn_compose_desc(spark, d):
     return listings(spark, d).select("page_id", F.concat_ws("\n\n", F.concat(F.lit("About\n"), "title"), skills).alias("text"))
 
 
-#: Degrees and benefits of the aggregator's flags, with their labels.
-DEGREES = (("bachelors", "Bachelor's"), ("masters", "Master's"), ("doctorate", "Doctorate"))
-BENEFITS = (("health", "Health insurance"), ("visa", "Relocation"), ("leave", "Parental leave"))
-
-
-@query("select page_id, list_filter([" + ", ".join(f"case when page_id % {i + 2} = 0 then '{v.replace(chr(39), chr(39) * 2)} ' || case when page_id % 4 < 2 then 'required' else 'preferred' end end" for i, (_, v) in enumerate(DEGREES)) + "], lambda x: x is not null) as education from listings", "listings")
-def fn_education(spark, d):
-    """Degrees that a posting asks for, each required or preferred."""
-    kind = F.when(F.col("page_id") % 4 < 2, "required").otherwise("preferred")
-    lines = F.array(*[F.when(F.col("page_id") % (i + 2) == 0, F.concat(F.lit(f"{v} "), kind)) for i, (_, v) in enumerate(DEGREES)])
-    return listings(spark, d).select("page_id", F.array_compact(lines).alias("education"))
-
-
-@query("select page_id, list_filter([" + ", ".join(f"case when page_id % {i + 2} = 0 then '{v}' end" for i, (_, v) in enumerate(BENEFITS)) + "], lambda x: x is not null) as benefits from listings", "listings")
-def fn_benefits(spark, d):
-    return listings(spark, d).select("page_id", F.array_compact(F.array(*[F.when(F.col("page_id") % (i + 2) == 0, v) for i, (_, v) in enumerate(BENEFITS)])).alias("benefits"))
-
-
 @query("select run_id, case run_id % 5 when 0 then '' when 1 then 'Yes' when 2 then 'a, b' when 3 then rows_extracted::varchar else status end as cell from runs", "runs")
 def fn_cell_display(spark, d):
     """A typed cell as text: nothing is blank, truth is Yes or No, lists are joined."""
