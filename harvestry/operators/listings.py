@@ -9,6 +9,7 @@ from harvestry.functions.text import collapse, decode_entities, entities_sql, nz
 from harvestry.functions.urls import host, key, normalized, normalized_sql
 from harvestry.plans.views import listings, table
 from harvestry.registry import query
+from harvestry.sources.storage import fresh_path
 
 NOW_MS = 1705000000000
 SHOWN = ("ats", "scrape.do", "browser", "list", "llm")
@@ -441,14 +442,52 @@ def prj_csv_cell(spark, d):
 # Sinks as plans
 
 
-@query(f"with k as (select page_id, {normalized_sql('url')} as url, status, created_ms, source, title, s_company, description, location from listings), old as (select url from k where status = 'ready'), b as (select k.*, row_number() over (partition by url order by page_id desc) as n, url in (select url from old) as known from k) select page_id, case when url is null then 'invalid' when n > 1 then 'duplicate' when created_ms < 1704100000000 then 'expired' when known then 'update' when title <> '' and s_company <> '' and length(description) >= 400 and location <> '' then 'ready' else 'queued' end as action from b", "listings")
+def upserts(stored: DataFrame, batch: DataFrame, oldest_ms: int = 1704100000000) -> DataFrame:
+    """The rows that an upsert by URL puts into a table of key, page_id, title, status: of a batch's rows of one URL the last one, none without a URL or older than `oldest_ms`; a known URL keeps its status, a new one is ready if it is complete, else queued."""
+    best = first_by(batch.where("key is not null"), ["key"], F.desc("page_id")).where(F.col("created_ms") >= oldest_ms)
+    complete = (F.col("title") != "") & (F.col("s_company") != "") & (F.length("description") >= 400) & (F.col("location") != "")
+    known = stored.select("key", F.col("status").alias("held"))
+    return best.withColumn("new", F.when(complete, "ready").otherwise("queued")).join(known, "key", "left").select("key", "page_id", "title", F.coalesce("held", "new").alias("status"))
+
+
+def merged_into(path: str, rows: DataFrame, key: str, buckets: int = 8) -> None:
+    """Put rows into a stored table in place of those with the same keys. Only the folders of the rows' buckets are written again; the same rows once more change nothing.
+
+    The new folders are made from a copy of the old ones, as a folder cannot be read while it is overwritten.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    new = rows.withColumn("bucket", bucket)
+    if stored_at(spark, path):
+        old = spark.read.schema(new.schema).parquet(path)
+        touched = new.select("bucket").distinct()
+        kept = old.join(touched, "bucket", "left_semi").join(new.select(key), key, "left_anti").select(new.columns)
+        whole = fresh_path(spark, "sink-merge")
+        new.unionByName(kept).write.parquet(whole)
+        new = spark.read.schema(new.schema).parquet(whole)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def stored_at(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+@query(f"""with k as (select page_id, {normalized_sql('url')} as url, status, created_ms, title, s_company, description, location from listings),
+old as (select url, min(page_id) as page_id from k where status = 'ready' and url is not null group by url),
+b as (select *, row_number() over (partition by url order by page_id desc) as n from k where url is not null qualify n = 1),
+u as (select b.url, b.page_id, case when b.url in (select url from old) then 'ready' when title <> '' and s_company <> '' and length(description) >= 400 and location <> '' then 'ready' else 'queued' end as status from b where created_ms >= 1704100000000)
+select url as key, page_id, title, status from (select url, page_id, status from u union all select url, page_id, 'ready' from old where url not in (select url from u)) join (select page_id, title from listings) using (page_id)""", "listings")
 def snk_upsert(spark, d):
-    """What an upsert by URL would do with each row of a batch: decided as a table before anything is written."""
+    """The ready listings are stored, then all rows come in by an upsert, twice: what the table then holds."""
     k = listings(spark, d).withColumn("key", normalized(F.col("url")))
-    old = k.where("status = 'ready'").select("key").distinct().withColumn("known", F.lit(True))
-    b = k.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("page_id")))).join(old, "key", "left")
-    ready = (F.col("title") != "") & (F.col("s_company") != "") & (F.length("description") >= 400) & (F.col("location") != "")
-    return b.select("page_id", F.when(F.col("key").isNull(), "invalid").when(F.col("n") > 1, "duplicate").when(F.col("created_ms") < 1704100000000, "expired").when(F.col("known"), "update").when(ready, "ready").otherwise("queued").alias("action"))
+    path = fresh_path(spark, "sink-upsert")
+    ready = first_by(k.where("status = 'ready' and key is not null"), ["key"], "page_id").select("key", "page_id", "title", "status")
+    merged_into(path, ready, "key")
+    for _ in range(2):
+        stored = spark.read.schema(ready.schema).parquet(path)
+        merged_into(path, upserts(stored, k), "key")
+    return spark.read.schema(ready.schema).parquet(path).select("key", "page_id", "title", "status")
 
 
 @query(f"with k as (select page_id, {normalized_sql('url')} as url, status from listings) select b.page_id, o.page_id as stored_id from k b left join (select url, min(page_id) as page_id from k where status = 'ready' group by url) o using (url)", "listings")
@@ -461,13 +500,23 @@ def jn_board_existing(spark, d):
 
 @query("select page_id, coalesce(nullif(company, ''), nullif(s_company, ''), '') as company, coalesce(nullif(location, ''), nullif(s_location, ''), '') as location, case when sha256(description) = sha256(title) then 'same' else 'new' end as content from listings", "listings")
 def snk_persist_result(spark, d):
+    """Each listing's result, its blanks filled from the snapshot, with whether its content is new, stored by page and read back; a second write of the same results changes nothing."""
     pick = lambda c: F.coalesce(nz(F.col(c)), nz(F.col(f"s_{c}")), F.lit("")).alias(c)
-    return listings(spark, d).select("page_id", pick("company"), pick("location"), F.when(F.sha2("description", 256) == F.sha2("title", 256), "same").otherwise("new").alias("content"))
+    rows = listings(spark, d).select("page_id", pick("company"), pick("location"), F.when(F.sha2("description", 256) == F.sha2("title", 256), "same").otherwise("new").alias("content"))
+    path = fresh_path(spark, "sink-results")
+    for _ in range(2):
+        merged_into(path, rows, "page_id")
+    return spark.read.schema(rows.schema).parquet(path).select("page_id", "company", "location", "content")
 
 
-@query("select page_id, case when length(description) < 60 then 'delete' when status = 'partial' then 'requeue' when title <> trim(title) then 'fix' else 'keep' end as action from listings", "listings")
+@query("select page_id, case when status = 'partial' then title else trim(title) end as title, case when status = 'partial' then 'queued' else status end as status from listings where length(description) >= 60", "listings")
 def snk_quality_cleanup(spark, d):
-    return listings(spark, d).select("page_id", F.when(F.length("description") < 60, "delete").when(F.col("status") == "partial", "requeue").when(F.col("title") != F.trim("title"), "fix").otherwise("keep").alias("action"))
+    """A cleaned copy of the listings: without those that have hardly a description, partial ones queued again, the others' titles trimmed. It is written whole before it stands for the old one."""
+    partial = F.col("status") == "partial"
+    rows = listings(spark, d).where(F.length("description") >= 60).select("page_id", F.when(partial, F.col("title")).otherwise(F.trim("title")).alias("title"), F.when(partial, "queued").otherwise(F.col("status")).alias("status"))
+    path = fresh_path(spark, "sink-cleaned")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query(f"with {VIS} select page_id, title, coalesce(nullif(company, ''), s_company, '') as company, left(description, 6500) as preview, least(created_ms, {NOW_MS}) as shown_ms from vis where title <> ''", "listings")

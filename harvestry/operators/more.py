@@ -144,13 +144,6 @@ def fn_search_state(spark, d):
     return rows.select("page_id", F.slice(F.array_compact(F.array("j.q", "j.place")), 1, 5).alias("search"))
 
 
-@query("select doc_id, len(list_filter(l, lambda x: starts_with(x, '•'))) as bullets, len(l) as lines from (select doc_id, list_filter(list_transform(string_split('• first' || chr(10) || coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') as l from documents)")
-def fn_section_lines(spark, d):
-    """Lines of a section, bullets told from text."""
-    lines = F.filter(F.transform(F.split(F.concat(F.lit("• first\n"), F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(lines, lambda x: x.startswith("•"))).cast("long").alias("bullets"), F.size(lines).cast("long").alias("lines"))
-
-
 @query("select page_id, concat_ws(chr(10) || chr(10), 'About' || chr(10) || title, case when employment <> '' then 'Skills' || chr(10) || '• ' || employment || chr(10) || '• ' || work_mode end) as text from listings", "listings")
 def fn_compose_desc(spark, d):
     """Sections put together under headings; empty ones are left out."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harvestry.functions.reasons import CODES, failure_reason, reason_sql
 from harvestry.plans.views import robots, runs
 from harvestry.registry import query
+from harvestry.sources.storage import fresh_path
 
 SUCCESS, FAILED, ACTIVE = ("success", "completed"), ("failed", "dead", "aborted"), ("running", "pending", "queued")
 #: Longest duration taken as real: 48 hours.
@@ -23,14 +24,13 @@ def newest_first():
 def unhealed(log: DataFrame, ahead: int = 2) -> DataFrame:
     """Failed runs that are not followed by `ahead` successes: the next runs of the robot strictly after it, over the whole log. A null time keeps the row.
 
-    Runs of one time are one group: what follows starts with the next larger time, found with a range frame.
+    Runs of one time are one group: what follows starts after the last of them.
     """
-    later = Window.partitionBy("robot_id").orderBy("at_ms").rangeBetween(1, Window.unboundedFollowing)
     order = Window.partitionBy("robot_id").orderBy("at_ms", "run_id")
     bad = (~F.col("status").isin(*SUCCESS)).cast("int")
     first = F.row_number().over(order)
     # position of the first later run, then the statuses of it and the next
-    pos = log.withColumn("pos", first).withColumn("next_at", F.min("at_ms").over(later))
+    pos = log.withColumn("pos", first)
     same = Window.partitionBy("robot_id", "at_ms")
     pos = pos.withColumn("last_pos", F.max("pos").over(same))
     run = Window.partitionBy("robot_id").orderBy("pos").rowsBetween(1, ahead)
@@ -360,12 +360,31 @@ def jn_catalog_left(spark, d):
 
 @query("with recursive w as (select run_id, run_id as root, 0::bigint as depth from runs where retry_of is null union all select r.run_id, w.root, w.depth + 1 from runs r join w on r.retry_of = w.run_id) select run_id, root, depth from w", "runs")
 def jn_retry_lineage(spark, d):
-    """Root and place in the chain of retries, by pointer doubling over run ids."""
-    now = runs(spark, d).select("run_id", F.coalesce("retry_of", "run_id").alias("root"), F.when(F.col("retry_of").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    for _ in range(6):  # chains are at most a few links here; 2**6 bounds them
+    """Root and place in the chain of retries."""
+    return lineage(runs(spark, d).select("run_id", "retry_of"))
+
+
+def lineage(log: DataFrame) -> DataFrame:
+    """run_id, retry_of -> run_id, root, depth, by pointer doubling: each round doubles the links that are behind a run, until every pointer is at a run that retries none.
+
+    Rounds are written to the shared folder. A retry of a run that is not there, or of itself over others, has no root and no row: such are left
+    when a round changes nothing any more.
+    """
+    def kept(df: DataFrame) -> DataFrame:
+        path = fresh_path(df.sparkSession, "lineage")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    now = kept(log.select("run_id", F.coalesce("retry_of", "run_id").alias("root"), F.when(F.col("retry_of").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    rounds = now.count().bit_length() + 1  # a chain without a loop ends within these
+    for _ in range(rounds):
         up = now.select(F.col("run_id").alias("root"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
-        now = now.join(up, "root").select("run_id", F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"))
-    return now
+        joined = now.join(up, "root")
+        if joined.where("depth2 > 0").isEmpty():
+            break
+        now = kept(joined.select("run_id", F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth")))
+    ends = log.where("retry_of is null").select(F.col("run_id").alias("root"))
+    return now.join(ends, "root", "left_semi").select("run_id", "root", "depth")
 
 
 @query("select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_nationkey = 5)")
