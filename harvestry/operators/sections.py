@@ -77,18 +77,19 @@ def paragraphs(body: Column) -> Column:
 
 
 def sections(rows: DataFrame) -> DataFrame:
-    """rows: id, text -> id, position, slug, title, body, cut of the sections that have a body. What comes before the first heading, or has none at all, is the description; a long one of a single line is `cut` into paragraphs. Blank text has no sections."""
+    """rows: id, text -> id, position, slug, title, body, cut of the sections that have a body. What comes before the first heading, or has none at all, is the description; a long one of a single line is `cut` into paragraphs, headings alone are a description. Blank text has no sections."""
     lines = F.transform(F.split(F.regexp_replace(prepared(F.replace("text", F.lit("\r\n"), F.lit("\n"))), r"^\s+|\s+$", ""), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
-    x = rows.select("id", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("text")).where("text <> ''").select("id", lines.alias("lines"))
+    x = rows.select("id", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("text")).where("text <> ''").select("id", "text", lines.alias("lines"))
     marks = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: is_heading(F.get("lines", i)))
-    x = x.select("id", "lines", F.concat(F.array(F.lit(-1)), marks).alias("at"))
+    x = x.select("id", "text", "lines", F.concat(F.array(F.lit(-1)), marks).alias("at"))
     part = lambda i, k: F.struct(F.when(i < 0, "Description").otherwise(bare(F.get("lines", i))).alias("title"), tidy(F.slice("lines", i + 2, F.coalesce(F.get("at", k + 1), F.size("lines")) - i - 1)).alias("body"))
-    x = x.select("id", F.size("at").alias("n"), F.transform("at", part).alias("parts"))
+    x = x.select("id", "text", F.size("at").alias("n"), F.transform("at", part).alias("parts"))
     # The first part is counted even if it is empty, later ones only if they are not.
     before = lambda k: F.when(k == 0, 0).otherwise(1 + F.size(F.filter(F.slice("parts", F.lit(2), k - 1), lambda p: p["body"] != "")))
     numbered = F.transform("parts", lambda p, k: F.struct(p["title"].alias("title"), p["body"].alias("body"), before(F.when(k > 0, k).otherwise(1)).alias("nth"), k.alias("k")))
     one_line = (F.col("n") == 1) & (F.length("body") > LONG) & ~F.col("body").contains("\n")
-    x = x.select("id", "n", F.posexplode(F.filter(numbered, lambda p: p["body"] != "")).alias("position", "p")).select("id", "n", "position", "p.*")
+    whole = F.array(F.struct(F.lit("Description").alias("title"), tidy(F.array("text")).alias("body"), F.lit(0).alias("nth"), F.lit(0).alias("k")))  # headings alone
+    x = x.select("id", "n", F.posexplode(let(F.filter(numbered, lambda p: p["body"] != ""), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))).alias("position", "p")).select("id", "n", "position", "p.*")
     slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 40)
     nth = F.when(F.col("k") == 0, 0).otherwise(F.col("nth"))
     return x.select("id", "position", F.concat(F.coalesce(F.nullif(slug, F.lit("")), F.lit("section")), F.lit("-"), nth.cast("string")).alias("slug"), "title", F.when(one_line, paragraphs(F.col("body"))).otherwise(F.col("body")).alias("body"), one_line.alias("cut"))
@@ -132,7 +133,8 @@ heads as (select *, length(t) between 3 and {HEADING} and not regexp_matches(t,
 parts as (select *, count(*) filter (head) over (partition by id order by i) as k from heads),
 bodies as (select id, k, coalesce(any_value(t) filter (head), 'Description') as title, coalesce({_trim("regexp_replace(string_agg(x, chr(10) order by i) filter (not head), '\\n{3,}', chr(10) || chr(10), 'g')")}, '') as body from parts group by id, k),
 held as (select *, case when k = 0 then 0 else 1 + coalesce(sum((k > 0 and body <> '')::int) over (partition by id order by k rows between unbounded preceding and 1 preceding), 0) end as nth, max(k) over (partition by id) as last from bodies),
-kept as (select *, row_number() over (partition by id order by k) - 1 as position from held where body <> '')"""
+kept as (select id, k, title, body, nth, last, row_number() over (partition by id order by k) - 1 as position from held where body <> ''
+  union all select doc_id, 0, 'Description', {_trim(_marked)}, 0, 1, 0 from documents where {_trim(_marked)} <> '' and doc_id not in (select id from held where body <> ''))"""
 
 
 @query(f"with {CUT} select id as doc_id, position, coalesce(nullif(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')[:40], ''), 'section') || '-' || nth as slug, title, md5(regexp_replace(case when last = 0 and length(body) > {LONG} and not contains(body, chr(10)) then regexp_replace(body, '^[.!?]+', '') else body end, '\\s+', '', 'g')) as letters_md5 from kept")
