@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harvestry.sources.storage import fresh_path
-from harvestry.streaming import jobs
+from harvestry.streaming import enrichment, jobs
 
 
 def test_state_is_kept_between_batches(spark, tmp_path):
@@ -57,3 +57,24 @@ def test_a_listing_ends_after_its_attempts():
     runs = [(1000 * n + 1, status) for n in range(jobs.ATTEMPTS) for status in ("running", "failed")]
     assert outcomes(jobs.listing_state, runs)[0] == ["enriching", "queued"] * (jobs.ATTEMPTS - 1) + ["enriching", "failed"]
     assert jobs.listing_state(["enriching", 1, 5], "running", 6, 1)[1] == "enriching" and jobs.listing_state(["enriching", 1, 5], "success", 6, 1)[1] == "queued"
+
+
+def test_the_enrichment_loop_goes_on_where_it_was(spark, tmp_path):
+    """Three batches, the second killed halfway and run again: leases run out, budgets hold, nothing is claimed twice."""
+    kind = "key long, at_ms long"
+    minute, day = 60_000, 86_400_000
+    parts = [[(k, 1000 + k) for k in range(6)], [(k, 20 * minute) for k in range(10)], [(0, day + 1)]]
+    results = spark.createDataFrame([(k, None if k == 1 else "ready", 10) for k in range(10) if k != 2], "key long, outcome string, cost long")
+    where, path = str(tmp_path / "in"), fresh_path(spark, "test-enrich")
+    stream = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(where)
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(where)
+        if n == 1:  # a pass whose table is half written is written again
+            spark.createDataFrame([(99, "ready", 1, None, 0, 0, 0)], enrichment.QUEUE).write.parquet(f"{path}/queue-1")
+        got = {r.key: r for r in enrichment.enrich(stream(), results, path, claimed=4, budget=30).collect()}
+        again = {r.key: r for r in enrichment.enrich(stream(), results, path, claimed=4, budget=30).collect()}
+        assert got == again
+        if n == 0:
+            assert [got[k].status for k in range(6)] == ["ready", "queued", "enriching", "ready", "queued", "queued"] and got[2].lease_until == 1005 + jobs.LEASE_MS
+    assert sorted(got) == list(range(10)) and got[0].attempts == 1 and got[2].attempts == 3
+    assert [got[k].status for k in (1, 2, 3, 4, 5)] == ["queued", "enriching", "ready", "ready", "ready"]
