@@ -182,7 +182,7 @@ def send_segments(key, rows, anchors):
         rows_of = np.concatenate(asked)
         whose = {"string": np.repeat(np.arange(len(own)), [len(x) for x in asked]), "text": found["text"][rows_of], "start": found["start"][rows_of]}
         own_strings = [strings[i] for i in own]
-        out.append((b, p, keys[own].astype("<u4").tobytes(), least[own].astype("<i8").tobytes(), size[own].astype("u1").tobytes(), b"".join(own_strings), packed(WHOSE, whose), b""))
+        out.append((b, p, keys[own].astype("<u4").tobytes(), least[own].astype("<i8").tobytes(), size[own].astype("u1").tobytes(), pa.compress(b"".join(own_strings), codec="zstd", asbytes=True), packed(WHOSE, whose), b""))
     if later.any():
         out.append((p, p, b"", b"", b"", b"", b"", packed(ANSWERS, sure)))
     names = ["bucket", "p", "keys", "docs", "sizes", "bytes", "whose", "answers"]
@@ -227,7 +227,8 @@ def answer(rows):
         at = np.concatenate([[0], np.cumsum(size + LENGTH - 1)])
         whose = unpacked(WHOSE, [r["whose"]])
         asked.append((r["p"], len(strings) + whose["string"].astype(np.int64), whose["text"], whose["start"]))
-        strings += [r["bytes"][a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        held = pa.decompress(r["bytes"], int(at[-1]), codec="zstd", asbytes=True) if at[-1] else b""
+        strings += [held[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         keys.append(np.frombuffer(r["keys"], "<u4"))
         sizes.append(size)
         docs.append(np.frombuffer(r["docs"], "<i8"))
