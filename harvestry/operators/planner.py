@@ -1,7 +1,7 @@
 """Schedule planning: first runs packed 90 seconds apart, and daily runs spread over the hours of a day.
 
-Both are greedy walks by their rule. Packing falls into islands: a bound on how late the walk can be, a running maximum taken
-per hour and then over hours, tells where it must be on time again, and islands are walked by themselves. Daily runs fall
+Both are greedy walks by their rule. Bounds on how late the walk can be, running maxima taken per bin and then over bins, tell
+where it must be on time again and where one just follows the other; between the former, the rest is walked by itself. Daily runs fall
 into rounds of at most 24: a level of the hours is filled before the next one, whatever hours the robots prefer.
 """
 
@@ -17,36 +17,47 @@ from harvestry.registry import query
 from harvestry.streaming.jobs import NOW_MS
 
 HOUR, GAP = 3_600_000, 90_000
+#: Wishes of one bin are sorted together.
+BIN = 600_000
 
 
 def packed(wanted: DataFrame, gap: int = GAP) -> DataFrame:
     """wanted: id, preferred (ms) -> with placed: each, in the order of preference and id, goes to its preferred time if that is `gap` from all placed before, else a gap after the later of that time and the last placed. Null preferences give no rows."""
     order = Window.partitionBy("bin").orderBy("preferred", "id")
-    rows = wanted.where("preferred is not null").withColumn("bin", F.floor(F.col("preferred") / HOUR)).withColumn("k", F.row_number().over(order))
-    # A walk that takes two gaps for each is never ahead of the true one: q_k = max(preferred_j - 2 gap j, j <= k) + 2 gap k, counted within a bin and carried from bin to bin.
-    slack = F.col("preferred") - 2 * gap * F.col("k")
-    bins = rows.groupBy("bin").agg(F.count("*").alias("n"), F.max(slack).alias("top"))
-    by_bin = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each hour that has any
+    prior = order.rowsBetween(Window.unboundedPreceding, -1)
+    by_bin = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin that has any
+    rows = wanted.where("preferred is not null").select("id", F.col("preferred").cast("long").alias("preferred"))
+    rows = rows.withColumn("bin", F.floor(F.col("preferred") / BIN)).withColumn("k", F.row_number().over(order).cast("long"))
+    # A walk of fixed steps is a running maximum: q_k = max(preferred_j - step j, j <= k) + step k, counted within a bin and carried from bin to bin.
+    # Steps of two gaps are never ahead of the true walk, steps of one gap never behind it.
+    steps = {"slow": 2 * gap, "fast": gap}
+    bins = rows.groupBy("bin").agg(F.count("*").alias("n"), *[F.max(F.col("preferred") - step * F.col("k")).alias(name) for name, step in steps.items()])
     bins = bins.withColumn("before", F.coalesce(F.sum("n").over(by_bin), F.lit(0)))
-    bins = bins.withColumn("carry", F.max(F.col("top") - 2 * gap * F.col("before")).over(by_bin)).select("bin", "before", "carry")
+    bins = bins.select("bin", "before", *[F.max(F.col(name) - step * F.col("before")).over(by_bin).alias(name) for name, step in steps.items()])
     rows = rows.join(bins, "bin").withColumn("i", F.col("before") + F.col("k"))
-    earlier = F.greatest("carry", F.max(F.col("preferred") - 2 * gap * F.col("i")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    # earlier + 2 gap (i - 1) is where the one before can be at the latest.
-    rows = rows.withColumn("first", F.coalesce(F.col("preferred") >= earlier + 2 * gap * (F.col("i") - 1) + gap, F.lit(True)))
-    begins = rows.where("first").groupBy("bin").agg(F.max("i").alias("last_first"))
+    latest, soonest = (F.greatest(name, F.max(F.col("preferred") - step * F.col("i")).over(prior)) + step * (F.col("i") - 1) for name, step in steps.items())
+    # Where the one before is surely a gap away, an island begins; where it is surely at or after the wish, the place is a gap after it, whatever that is.
+    rows = rows.withColumn("first", F.coalesce(F.col("preferred") >= latest + gap, F.lit(True))).withColumn("follows", F.coalesce(soonest >= F.col("preferred"), F.lit(False)))
+    rows = rows.select("bin", "i", "id", "preferred", "first", "follows")
+    open_ = rows.where("not follows")
+    begins = open_.where("first").groupBy("bin").agg(F.max("i").alias("last_first"))
     carried = bins.join(begins, "bin", "left").select("bin", F.last("last_first", True).over(by_bin).alias("from_before"))
-    rows = rows.join(carried, "bin").withColumn("island", F.coalesce(F.max(F.when(F.col("first"), F.col("i"))).over(order), "from_before"))
+    open_ = open_.join(carried, "bin").withColumn("island", F.coalesce(F.max(F.when(F.col("first"), F.col("i"))).over(order), "from_before"))
 
     def walk(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
-        placed, last = [], None
-        for wish in table["preferred"].to_pylist():
-            last = wish if last is None or wish - last >= gap else max(wish, last) + gap
-            placed.append(last)
-        return table.select(["id", "preferred"]).append_column("placed", pa.array(placed, pa.int64()))
-
-    kind = wanted.schema["id"].dataType.simpleString()
-    return rows.select("island", "i", "id", F.col("preferred").cast("long").alias("preferred")).groupBy("island").applyInArrow(walk, f"id {kind}, preferred long, placed long")
+        base, place = [], None  # base: the place less a gap for each one before, the same for all that follow
+        for i, wish in zip(table["i"].to_pylist(), table["preferred"].to_pylist(), strict=True):
+            last = None if place is None else place + gap * (i - 1 - at)
+            place, at = wish if last is None or wish - last >= gap else max(wish, last) + gap, i
+            base.append(place - gap * i)
+        return table.select(["bin", "i"]).append_column("base", pa.array(base, pa.int64()))
+
+    walked = open_.select("island", "bin", "i", "preferred").groupBy("island").applyInArrow(walk, "bin long, i long, base long")
+    last = walked.groupBy("bin").agg(F.max_by("base", "i").alias("last_base"))
+    carried = bins.join(last, "bin", "left").select("bin", F.last("last_base", True).over(by_bin).alias("from_before"))
+    rows = rows.join(walked, ["bin", "i"], "left").join(carried, "bin")
+    return rows.select("id", "preferred", (F.coalesce(F.last("base", True).over(order), "from_before") + gap * F.col("i")).alias("placed"))
 
 
 def wishes(spark, d) -> DataFrame:

@@ -31,6 +31,16 @@ def test_packing_against_a_loop(spark, n, span):
     assert {r.id: r.preferred for r in got} == dict(wishes)
 
 
+@pytest.mark.parametrize(("n", "span"), [(13_000, 400_000), (13_000, 13_000 * 90_000), (13_000, 13_000 * 130_000)])
+def test_packing_of_a_large_fleet(spark, n, span):
+    rng = random.Random(span)
+    wishes = [(i, 1_700_000_000_000 + rng.randrange(span)) for i in range(n)]
+    want, last = {}, None
+    for wish, i in sorted((w, i) for i, w in wishes):
+        want[i] = last = wish if last is None or wish - last >= GAP else max(wish, last) + GAP
+    assert {r.id: r.placed for r in planner.packed(spark.createDataFrame(wishes, "id long, preferred long")).collect()} == want
+
+
 def loop_plan(daily, fixed, now):
     counts, taken = [0] * 24, [[] for _ in range(24)]
     for hour, offset in fixed:
