@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nz(c: Column) -> Column:
     """Null for blank text."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -32,11 +39,16 @@ def _reference(prefix: str, base: int):
 
 def decode_entities(c: Column, one_line: bool = True) -> Column:
     """Named references whatever their case, then hexadecimal and decimal ones; a number that names no character gives nothing."""
-    for name, sign in ENTITIES:
-        c = F.regexp_replace(c, F.lit(f"(?i){name}"), F.lit(sign))
-    for prefix, digits, base in (("&#x", "[0-9a-fA-F]+", 16), ("&#", "[0-9]+", 10)):
-        found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"{prefix}({digits});"), F.lit(1)))
-        c = F.aggregate(found, c, _reference(prefix, base))
+
+    def decoded(text: Column) -> Column:
+        for name, sign in ENTITIES:
+            text = F.regexp_replace(text, F.lit(f"(?i){name}"), F.lit(sign))
+        for prefix, digits, base in (("&#x", "[0-9a-fA-F]+", 16), ("&#", "[0-9]+", 10)):
+            found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(f"{prefix}({digits});"), F.lit(1)))  # noqa: B023, E731
+            text = let(text, lambda t: F.aggregate(found(t), t, _reference(prefix, base)))  # noqa: B023
+        return text
+
+    c = let(c, lambda text: F.when(text.contains("&"), decoded(text)).otherwise(text))
     return collapse(c) if one_line else F.trim(c)
 
 

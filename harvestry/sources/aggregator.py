@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvestry.functions.cleaners import let
-from harvestry.functions.text import decode_entities, strip_html
-from harvestry.plans.views import table
+from harvestry.functions.text import decode_entities, let, strip_html
+from harvestry.plans.views import spread, table
 from harvestry.registry import query
 
 #: Where each field may stand, in order of precedence.
@@ -81,16 +80,19 @@ def salary(record: Column) -> Column:
         amount = F.when(b["min"] == b["max"], low).when(b["min"].isNotNull() & b["max"].isNotNull(), F.concat(low, F.lit("-"), high)).when(b["min"].isNotNull(), F.concat(low, F.lit("+"))).when(b["max"].isNotNull(), F.concat(F.lit("up to "), high))
         return F.concat(amount, b["unit"])
 
-    chosen = let(bands, lambda all_: F.coalesce(F.get(F.filter(all_, lambda b: b["name"] == named), F.lit(0)), F.get(F.filter(all_, some), F.lit(0))))
+    chosen = let(named, lambda name: let(bands, lambda all_: F.coalesce(F.get(F.filter(all_, lambda b: b["name"] == name), F.lit(0)), F.get(F.filter(all_, some), F.lit(0)))))
     return F.coalesce(let(chosen, told), F.lit(""))
 
 
 def location(record: Column) -> Column:
     """The place as shown, else the first city with its country's name, else the first state and country."""
-    city = F.get(texts(record, f"{DATA}.workplace_cities"), F.lit(0))
-    code = F.upper(F.regexp_extract(city, r",\s*([A-Za-z]{2})$", 1))
-    country = F.try_element_at(F.create_map(*[F.lit(x) for p in COUNTRIES.items() for x in p]), code)
-    city = F.when(country.isNotNull(), F.concat(F.regexp_replace(city, r",\s*[A-Za-z]{2}$", ", "), country)).otherwise(city)
+
+    def named(city: Column) -> Column:
+        code = F.upper(F.regexp_extract(city, r",\s*([A-Za-z]{2})$", 1))
+        country = F.try_element_at(F.create_map(*[F.lit(x) for p in COUNTRIES.items() for x in p]), code)
+        return F.when(country.isNotNull(), F.concat(F.regexp_replace(city, r",\s*[A-Za-z]{2}$", ", "), country)).otherwise(city)
+
+    city = let(F.get(texts(record, f"{DATA}.workplace_cities"), F.lit(0)), named)
     rest = F.concat_ws(", ", F.get(texts(record, f"{DATA}.workplace_states"), F.lit(0)), F.get(texts(record, f"{DATA}.workplace_countries"), F.lit(0)))
     return F.coalesce(F.nullif(decode_entities(first(record, PATHS["place"])), F.lit("")), city, rest)
 
@@ -99,16 +101,24 @@ def flagged(record: Column, path: str) -> Column:
     return F.coalesce(F.lower(at(record, path)).isin("true", "yes", "1"), F.lit(False))
 
 
-def education(record: Column) -> tuple[Column, Column]:
-    """Degrees that are required, and that are preferred, with their fields of study."""
+def degrees(record: Column) -> Column:
+    """(kind, line) of the degrees that are required or preferred, with their fields of study."""
+
+    def kind(asked: Column) -> Column:
+        return F.when(asked.contains("not mentioned") | asked.isin("", "none", "n/a"), None).when(asked.contains("prefer"), "preferred").when(asked.contains("require") | asked.isin("yes", "true"), "required")
+
     lines = []
     for level, label in DEGREES:
         asked = F.regexp_replace(F.lower(F.coalesce(at(record, f"{DATA}.{level}_degree_requirement"), F.lit(""))), "[_-]+", " ")
-        kind = F.when(asked.contains("not mentioned") | asked.isin("", "none", "n/a"), "").when(asked.contains("prefer"), "preferred").when(asked.contains("require") | asked.isin("yes", "true"), "required").otherwise("")
         fields = F.array_join(texts(record, f"{DATA}.{level}_degree_fields_of_study"), ", ")
-        lines.append(F.struct(kind.alias("kind"), F.concat(F.lit(label), F.when(fields != "", F.concat(F.lit(" in "), fields)).otherwise(""), F.lit(" ("), kind, F.lit(")")).alias("line")))
-    of = lambda kind: F.transform(F.filter(F.array(*lines), lambda x: x["kind"] == kind), lambda x: x["line"])
-    return of("required"), of("preferred")
+        studied = let(fields, lambda f: F.when(f != "", F.concat(F.lit(" in "), f)).otherwise(""))
+        line = lambda k: F.struct(k.alias("kind"), F.concat(F.lit(label), studied, F.lit(" ("), k, F.lit(")")).alias("line"))  # noqa: B023, E731
+        lines.append(let(let(asked, kind), lambda k: F.when(k.isNotNull(), line(k))))  # noqa: B023
+    return F.array_compact(F.array(*lines))
+
+
+def of_kind(asked: Column, kind: str) -> Column:
+    return F.transform(F.filter(asked, lambda x: x["kind"] == kind), lambda x: x["line"])
 
 
 def benefits(record: Column) -> Column:
@@ -120,22 +130,22 @@ def postings(rows: DataFrame, record: str) -> DataFrame:
     v = F.col("v")
     x = rows.select("id", F.try_parse_json(record).alias("v"))
     link = [let(at(v, p), lambda u: F.when(u.rlike("(?i)^https?://") & ~u.rlike(r"(?i)^https?://([^/]*\.)?hiring\.?cafe(\.com)?([/:?#]|$)"), u)) for p in APPLY]
-    work, kind = F.lower(first(v, PATHS["workplace"])), F.regexp_replace(F.lower(F.split(F.coalesce(at(v, f"{DATA}.commitment"), at(v, "$.employmentType"), F.lit("")), ", ")[0]), "[_-]+", " ")
-    site = first(v, PATHS["website"])
-    required, preferred = education(v)
-    exchange, symbol = first(v, PATHS["exchange"]), first(v, PATHS["symbol"])
+    kind = F.regexp_replace(F.lower(F.split(F.coalesce(at(v, f"{DATA}.commitment"), at(v, "$.employmentType"), F.lit("")), ", ")[0]), "[_-]+", " ")
     industries = F.coalesce(*[F.nullif(F.array_join(texts(v, f"{p}.industries"), ", "), F.lit("")) for p in (FIRM, FIRM_DATA)], F.lit(""))
     kinds = (("full", "Full-time"), ("part", "Part-time"), ("contract", "Contract"), ("intern", "Internship"), ("temp", "Temporary"), ("freelance", "Freelance"), ("gig", "Freelance"))
-    employment = F.coalesce(*[F.when(kind.contains(k), name) for k, name in kinds], F.initcap(kind))
-    remote = F.when(work.contains("remote"), "Remote").when(work.contains("hybrid"), "Hybrid").when(work.rlike("on[ -]?site"), "Onsite").when(work.contains("field"), "Field").otherwise(F.concat(F.upper(F.left(first(v, PATHS["workplace"]), F.lit(1))), F.substring(first(v, PATHS["workplace"]), 2, 1000)))
+    employment = let(kind, lambda kind: F.coalesce(*[F.when(kind.contains(k), name) for k, name in kinds], F.initcap(kind)))
+    place = lambda work: F.when(F.lower(work).contains("remote"), "Remote").when(F.lower(work).contains("hybrid"), "Hybrid").when(F.lower(work).rlike("on[ -]?site"), "Onsite").when(F.lower(work).contains("field"), "Field").otherwise(F.concat(F.upper(F.left(work, F.lit(1))), F.substring(work, 2, 1000)))
+    remote = let(first(v, PATHS["workplace"]), place)
+    website = let(first(v, PATHS["website"]), lambda site: F.when(site == "", "").when(site.startswith("http"), site).otherwise(F.concat(F.lit("https://"), F.regexp_replace(site, "^/+", ""))))
+    listed = lambda exchange, symbol: F.when((exchange != "") & (symbol != ""), F.concat(exchange, F.lit(": "), symbol)).otherwise(F.coalesce(F.nullif(symbol, F.lit("")), exchange))
+    f500 = let(first(v, PATHS["exchange"]), lambda exchange: let(first(v, PATHS["symbol"]), lambda symbol: listed(exchange, symbol)))
+    education = let(degrees(v), lambda asked: F.array_join(F.concat(of_kind(asked, "required"), of_kind(asked, "preferred")), "; "))
     return x.select(
         "id", *[first(v, PATHS[k]).alias(k) for k in ("title", "company", "date", "category", "about", "seniority")], F.regexp_replace(strip_html(first(v, PATHS["description"])), r"^\s+|\s+$", "").alias("description"),
         location(v).alias("location"), salary(v).alias("salary"), employment.alias("employment"), remote.alias("remote"), F.coalesce(*link, F.lit("")).alias("apply_url"),
-        F.when(site == "", "").when(site.startswith("http"), site).otherwise(F.concat(F.lit("https://"), F.regexp_replace(site, "^/+", ""))).alias("website"),
-        F.when((exchange != "") & (symbol != ""), F.concat(exchange, F.lit(": "), symbol)).otherwise(F.coalesce(F.nullif(symbol, F.lit("")), exchange)).alias("f500"),
-        F.coalesce(F.nullif(industries, F.lit("")), first(v, PATHS["sector"])).alias("sector"), F.coalesce(*[F.floor(number(v, p)) for p in EMPLOYEES], F.lit(0)).cast("long").alias("employees"),
+        website.alias("website"), f500.alias("f500"), F.coalesce(F.nullif(industries, F.lit("")), first(v, PATHS["sector"])).alias("sector"), F.coalesce(*[F.floor(number(v, p)) for p in EMPLOYEES], F.lit(0)).cast("long").alias("employees"),
         F.coalesce(F.floor(number(v, f"{DATA}.min_industry_and_role_yoe")), F.lit(0)).cast("long").alias("experience"), F.when(flagged(v, f"{DATA}.visa_sponsorship"), "yes").when(F.lower(at(v, f"{DATA}.visa_sponsorship")) == "false", "no").otherwise("").alias("visa"),
-        F.coalesce(texts(v, f"{DATA}.technical_tools"), F.array().cast("array<string>")).alias("skills"), F.array_join(F.concat(required, preferred), "; ").alias("education"), benefits(v).alias("benefits"),
+        F.coalesce(texts(v, f"{DATA}.technical_tools"), F.array().cast("array<string>")).alias("skills"), education.alias("education"), benefits(v).alias("benefits"),
     )
 
 
@@ -157,7 +167,7 @@ def records(spark, d) -> DataFrame:
     )
     firm = F.struct(when(2, 0, F.col("p_brand")).alias("name"), when(4, 0, F.concat(F.lit("//"), F.lower("p_brand"), F.lit(".com"))).alias("homepage_uri"), when(4, 0, F.lit("NYSE")).alias("stock_exchange"), when(2, 0, F.lit("ABC")).alias("stock_symbol"), (k % 9 * 100).alias("nb_employees"), F.array(F.lit("b"), F.lit("B"), F.lit("a")).alias("industries"))
     whole = F.struct(job.alias("job_information"), data.alias("v5_processed_job_data"), firm.alias("enriched_company_data"), F.lit("https://hiring.cafe/job/1").alias("apply_url"), F.concat("p_brand", F.lit(" Ltd")).alias("company"), F.lit("2024-05-01").alias("date"))
-    return table(spark, d, "part").select(k.alias("id"), F.when(k % 17 == 0, "{broken").otherwise(F.to_json(whole)).alias("record"))
+    return spread(table(spark, d, "part"), "p_partkey").select(k.alias("id"), F.when(k % 17 == 0, "{broken").otherwise(F.to_json(whole)).alias("record"))
 
 
 def _shown(n: str, small: str) -> str:
@@ -195,8 +205,8 @@ def fn_salary_aggregator(spark, d):
 @query(f"with {AGGREGATED} select id, list_filter([b1, d1], lambda x: x <> '') as required, list_filter([b2], lambda x: x <> '') as preferred from e")
 def fn_education(spark, d):
     """Degrees that a record asks for, and those it prefers."""
-    required, preferred = education(F.col("v"))
-    return of_records(spark, d).select("id", required.alias("required"), preferred.alias("preferred"))
+    asked = of_records(spark, d).select("id", degrees(F.col("v")).alias("asked"))
+    return asked.select("id", of_kind(F.col("asked"), "required").alias("required"), of_kind(F.col("asked"), "preferred").alias("preferred"))
 
 
 @query(f"with {AGGREGATED} select id, benefits from e")
