@@ -321,18 +321,19 @@ def described(spark, d) -> DataFrame:
     """doc_id, t (the text of a posting's page), junk (navigation, a teaser, praise or repetition instead of a posting), score."""
     said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("doc_id") % len(SAID) + 1).cast("int"))
     rows = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.concat(said, F.coalesce("text", F.lit(""))), r"[ \t]+", " ")).alias("t"))
-    rows = rows.withColumn("w", F.filter(F.split(F.lower("t"), r"[ \t\n\r]+"), lambda x: x != ""))
-    t, n, words = F.col("t"), F.length("t"), F.size("w")
-    signal, often = t.rlike(SIGNAL), lambda pattern: F.regexp_count(t, F.lit(pattern))
+    rows = rows.withColumn("w", F.array_remove(F.split(F.lower("t"), r"[ \t\n\r]+"), ""))
+    rows = rows.withColumn("signal", F.col("t").rlike(SIGNAL))
+    t, n, words, signal = F.col("t"), F.length("t"), F.size("w"), F.col("signal")
+    often = lambda pattern: F.regexp_count(t, F.lit(pattern))
     junk = (
         (n < 40) | (t.rlike(CHROME) & ~t.rlike(BODY)) | t.rlike(TEASERS[0]) | t.rlike(TEASERS[1]) | ((n < 280) & ~t.rlike(STRONG))
         | (t.rlike(PRAISE) & (~signal | ((n < 900) & ~t.rlike(r"(?i)\bresponsibilit|\bqualifications?\b|\brequirements?\b")))) | ((words > 80) & (F.size(F.array_distinct("w")) * 100 < words * 28))
         | (often(r"(?i)\bformer\b") >= 4) | ((often(r"(?i)\bexplore\b") >= 5) & ~signal) | ((n > 1200) & ~signal & (often(LINKISH) >= 8))
     )
-    rows = rows.select("doc_id", "t", junk.alias("junk"))
+    rows = rows.select("doc_id", "t", "signal", junk.alias("junk"))
     shape = t.contains("\n") | t.rlike(r"•|\*|-\s+\w")
     score = F.least(n, F.lit(4000)) / 40.0 + F.when(signal, 40).otherwise(0) + F.when(shape, 10).otherwise(0) - F.when(n > 8000, 20).otherwise(0)
-    return rows.withColumn("score", F.when(F.col("junk"), 0.0).otherwise(score))
+    return rows.withColumn("score", F.when(F.col("junk"), 0.0).otherwise(score)).drop("signal")
 
 
 @query(f"with {JUNKED} select doc_id, junk from scored")
@@ -347,13 +348,19 @@ def fn_quality_score(spark, d):
 
 @query(f"with {JUNKED}, p as (select a.doc_id, a.t as ta, a.score as sa, coalesce(b.t, '') as tb, coalesce(b.score, 0) as sb from scored a left join scored b on b.doc_id = a.doc_id + 1) select doc_id, md5(case when sa = 0 and sb = 0 then case when ta = '' then tb when tb = '' then ta when length(ta) <= length(tb) then ta else tb end when sa >= sb then ta else tb end) as best from p")
 def fn_best_description(spark, d):
-    """The better of a description and its fallback, the next document's; of two junk ones the shorter that is not blank."""
-    x = described(spark, d)
-    other = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("tb"), F.col("score").alias("sb"))
-    p = x.join(other, "doc_id", "left").withColumn("tb", F.coalesce("tb", F.lit(""))).withColumn("sb", F.coalesce("sb", F.lit(0.0)))
-    shorter = F.when(F.col("t") == "", F.col("tb")).when(F.col("tb") == "", F.col("t")).when(F.length("t") <= F.length("tb"), F.col("t")).otherwise(F.col("tb"))
-    best = F.when((F.col("score") == 0) & (F.col("sb") == 0), shorter).when(F.col("score") >= F.col("sb"), F.col("t")).otherwise(F.col("tb"))
-    return p.select("doc_id", F.md5(best).alias("best"))
+    """The better of a description and its fallback, the next document's; of two junk ones the shorter that is not blank.
+
+    The choice takes scores and lengths, and only a digest comes out: texts are scored once, where they are read, and stay there.
+    """
+    x = described(spark, d).select("doc_id", F.struct("score", F.length("t").alias("n"), F.md5("t").alias("digest")).alias("x"))
+    # Each document stands as itself and as the fallback of the one before.
+    roles = F.array(F.struct("doc_id", F.col("x").alias("own"), F.lit(None).alias("other")), F.struct((F.col("doc_id") - 1).alias("doc_id"), F.lit(None).alias("own"), F.col("x").alias("other")))
+    p = x.select(F.inline(roles)).where("own is not null or doc_id is not null").groupBy("doc_id").agg(F.collect_list("own").alias("own"), F.collect_list("other").alias("other"))
+    p = p.select("doc_id", F.explode("own").alias("own"), "other").select("doc_id", "own", F.explode_outer("other").alias("other"))
+    p = p.select("doc_id", "own", F.coalesce("other", F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("n"), F.md5(F.lit("")).alias("digest"))).alias("other"))
+    shorter = F.when((F.col("own.n") > 0) & ((F.col("other.n") == 0) | (F.col("own.n") <= F.col("other.n"))), F.col("own.digest")).otherwise(F.col("other.digest"))
+    best = F.when((F.col("own.score") == 0) & (F.col("other.score") == 0), shorter).when(F.col("own.score") >= F.col("other.score"), F.col("own.digest")).otherwise(F.col("other.digest"))
+    return p.select("doc_id", best.alias("best"))
 
 
 #: The paths whose slug is a title, in order of precedence; titles that name no posting; kinds of employment.

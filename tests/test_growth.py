@@ -14,6 +14,11 @@ def test_rows_of_a_small_file_are_spread_over_cores(name, spark, sf):
     assert catalog.QUERIES[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_descriptions_are_scored_once(spark, sf):
+    plan = catalog.QUERIES["fn_best_description"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count(r"who\s+you\s+are") == 1 and "Join" not in plan
+
+
 def test_decoding_reads_its_text_once(spark):
     assert decode_entities(F.col("page_html"))._jc.toString().count("page_html") == 1
     texts = spark.createDataFrame([("a &amp;lt; &#x41;&#66; &#1114112;",), ("plain  text",), (None,)], "t string")
