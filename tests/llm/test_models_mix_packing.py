@@ -167,6 +167,43 @@ def test_encoder_has_the_ids_of_whole_texts():
         assert b"".join(encoder.parts[p] for p in parts) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def encoded(encoder, texts: list[bytes]) -> list[list[int]]:
+    at = np.append(0, np.cumsum(list(map(len, texts)))).astype(np.int64)
+    ids, ids_at = encoder.blocks(np.frombuffer(b"".join(texts), np.uint8), at)
+    return [ids[i:j].tolist() for i, j in zip(ids_at, ids_at[1:], strict=False)]
+
+
+def test_cuts_within_texts_change_no_ids(monkeypatch):
+    """Texts one after the other, also in blocks and with a table that is always full and at times emptied."""
+    rng = np.random.default_rng(5)
+    encoder = packing.Encoder(packing.default_tokenizer())
+    signs = [*"aAbstSreé\u0301İKΣЖßçÉ\u0307'.,!-  \n\t\r19½²二#|><", "'ll", "'RE", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "</w>", "\u2019s", "\x00", "\x85"]
+    texts = ["".join(signs[i] for i in rng.integers(0, len(signs), n)) for n in rng.integers(0, 60, 3000)]
+    texts += [f"{chr(c)}{tail}" for c in (*range(0xC0, 0x180), *range(0x400, 0x480)) for tail in (",", "'s a", "1", "\u0301,")]
+    texts += [f"{a}{chr(b)}{tail}" for a in "HJTWYhjtwyKA" for b in range(0x300, 0x340) for tail in ("", ".")]  # some marks make one letter with the small one only
+    texts += ["", " ", "\n"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    data = [t.encode() for t in texts]
+    assert encoded(encoder, data) == want
+    broken = [b"a\xc3", b"\xa9,b \xe2\x82,c", b"\xc3", b"\xa9", b"<|endof", b"text|>"]
+    assert encoded(encoder, broken) == [encoder.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in broken]
+    assert encoded(encoder, [b"", b"", b" "]) == [[], [], []] and encoded(encoder, [b""]) == [[]]
+    monkeypatch.setattr(packing, "PARTS", 50)
+    monkeypatch.setattr(packing, "TEXT", 10)
+    for t, w in zip(data, want, strict=True):
+        assert encoded(encoder, [t]) == [w], t
+        assert len(encoder.parts) <= 50
+
+
+def test_equal_words_are_encoded_once_whatever_is_beside_them():
+    """A word with a capital, a sign, a number or an ending has no entry of its own: the tokenizer's work grows with the different words."""
+    encoder = packing.Encoder(packing.default_tokenizer())
+    words = ["alpha", "Beta", "GAMMA", "été", "straße", "слово"]
+    text = " ".join(f"{a}{w}{b}" for w in words for a in ("", "(", "12", "#") for b in ("", ",", ".", "!!", ");", "7", "'s", "-42", "-x"))
+    assert encoded(encoder, [text.encode()]) == [encoder.tokenizer.encode(text, add_special_tokens=False).ids]
+    assert len(encoder.parts) < 40
+
+
 def check_packed(rows, texts: dict) -> None:
     from tokenizers import Tokenizer
 
